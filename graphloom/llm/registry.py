@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from graphloom.llm.bpe import op8_bpe
+from graphloom.llm.langid import op3_langid
 from graphloom.llm.quality import op2_quality
 
-QUERIES = {f.__name__: f for f in (op2_quality, op8_bpe,)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_langid, op8_bpe,)}
 ORACLES: dict[str, str] = {}
