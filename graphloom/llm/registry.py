@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from graphloom.llm.bpe import op8_bpe
 from graphloom.llm.decontaminate import op7_decontaminate
+from graphloom.llm.html_text import op4_html
 from graphloom.llm.langid import op3_langid
 from graphloom.llm.quality import op2_quality
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_langid, op7_decontaminate, op8_bpe,)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_langid, op4_html, op7_decontaminate, op8_bpe)}
 ORACLES: dict[str, str] = {}
