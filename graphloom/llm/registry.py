@@ -7,6 +7,7 @@ from graphloom.llm.decontaminate import op7_decontaminate
 from graphloom.llm.html_text import op4_html
 from graphloom.llm.langid import op3_langid
 from graphloom.llm.quality import op2_quality
+from graphloom.llm.topk import op10_topk
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_langid, op4_html, op7_decontaminate, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_langid, op4_html, op7_decontaminate, op8_bpe, op10_topk)}
 ORACLES: dict[str, str] = {}
