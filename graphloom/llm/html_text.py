@@ -93,7 +93,7 @@ def blocks(page: str) -> list[TextBlock]:
     """Flat text blocks in page order; those without a visible character are left out."""
     out: list[TextBlock] = []
     stack: list[Element] = []
-    now, at, skip, in_link = TextBlock(), 0, None, 0
+    now, at, in_link = TextBlock(), 0, 0
     depth_aside = depth_main = 0
 
     def put(text: str) -> None:
@@ -122,13 +122,8 @@ def blocks(page: str) -> list[TextBlock]:
             in_link -= e.name == "a"
         del stack[to:]
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         name = (m["name"] or m["name2"] or "").lower()
-        if skip:  # inside script, style and the like only their own end tag counts
-            if name != skip or not (m["end"] or m["end2"]):
-                continue
-            at, skip = m.end(), None
-            continue
         put(page[at : m.start()])
         at = m.end()
         if m[0].startswith("<![CDATA["):
@@ -142,8 +137,9 @@ def blocks(page: str) -> list[TextBlock]:
             to = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
             if to is not None:
                 pop(to)
-        elif name in RAW:
-            skip = name
+        elif name in RAW:  # only its own end tag counts inside
+            stop = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = stop.end() if stop else len(page)
         elif name not in VOID:
             closes = {name} if name in ("li", "dt", "dd", "tr", "td", "th", "option", "a") else {"p"} if name not in INLINE else set()
             if closes and (to := next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name in closes), None)) is not None:
@@ -154,8 +150,7 @@ def blocks(page: str) -> list[TextBlock]:
             depth_aside += aside
             depth_main += main
             in_link += name == "a"
-    if not skip:
-        put(page[at:])
+    put(page[at:])
     flush()
     return out
 

@@ -8,6 +8,7 @@ from graphloom.llm.html_text import op4_html
 from graphloom.llm.langid import op3_langid
 from graphloom.llm.quality import op2_quality
 from graphloom.llm.topk import op10_topk
+from graphloom.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_langid, op4_html, op7_decontaminate, op8_bpe, op10_topk)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_langid, op4_html, op7_decontaminate, op8_bpe, op9_toxicity, op10_topk)}
 ORACLES: dict[str, str] = {}
