@@ -76,3 +76,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def sample_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:
     """At most n rows, those with the smallest hash of their key: the same rows on every run."""
     return rows.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
+
+
+#: Bits of a key filter: about FILTER_BITS for each key, 2 ** FILTER_MOST at most, so its size has a bound whatever the keys.
+FILTER_BITS, FILTER_MOST = 12, 25
+
+
+def key_filter(keys: DataFrame):
+    """A broadcast Bloom filter of a column `key` of digests, three places from 12 of their bytes. It spares rows that a
+    join would drop anyway; with more keys than it has room for it lets more rows through, never fewer."""
+    bits = 1 << min(FILTER_MOST, max(16, (keys.count() * FILTER_BITS).bit_length()))
+    place = F.explode(F.array(*(F.conv(F.hex(F.substring("key", 1 + 4 * i, 4)), 16, 10).cast("long") % bits for i in range(3))))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("b")).toArrow()
+    table_ = np.zeros(bits // 64, np.int64)
+    table_[words["w"].to_numpy()] = words["b"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(table_.view(np.uint64))
+
+
+def may_hold(table_: np.ndarray, keys: list[bytes]) -> np.ndarray:
+    """For each digest, whether it may be in the filter."""
+    p = np.frombuffer(b"".join(keys), ">u4").reshape(len(keys), -1)[:, :3].astype(np.int64) % (len(table_) * 64)
+    return (((table_[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)) == 1).all(1)
