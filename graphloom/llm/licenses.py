@@ -101,7 +101,8 @@ class Scanner:
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for t in texts for w in t}))}
         self.base = len(self.vocabulary) + 1
         self.grams = [np.unique(self._codes(self._ids(t))) for t in texts]
-        self.all = np.unique(np.concatenate([np.zeros(0, np.int64), *self.grams]))
+        self.all = np.unique(np.concatenate(self.grams))
+        self.holds = np.stack([np.isin(self.all, g) for g in self.grams], 1)  # by bigram and template
 
     def _ids(self, found: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
@@ -117,13 +118,14 @@ class Scanner:
         found = words(text)
         codes = self._codes(self._ids(found))
         at = np.flatnonzero(codes > 0)
-        at = at[np.isin(codes[at], self.all)]
+        place = np.minimum(np.searchsorted(self.all, codes[at]), len(self.all) - 1)
+        same = self.all[place] == codes[at]
+        at, place = at[same], place[same]
         t, passages = self.threshold, []
-        for k, grams in enumerate(self.grams if len(at) else []):
+        least_of = np.array([len(g) * t / (2 - t) for g in self.grams]) - 1e-9
+        for k in np.flatnonzero(self.holds[np.unique(place)].sum(0) >= least_of) if len(at) else []:
+            grams, mine = self.grams[k], at[self.holds[place, k]]
             least, most = len(grams) * t / (2 - t), len(grams) * (2 - t) / t
-            mine = at[np.isin(codes[at], grams)]
-            if len(np.unique(codes[mine])) < least - 1e-9:
-                continue
             for i, a in enumerate(mine):
                 best = None
                 seen: set[int] = set()
@@ -138,7 +140,7 @@ class Scanner:
                     if size >= least - 1e-9 and dice >= t - 1e-9 and (best is None or dice >= best[0]):
                         best = dice, int(z)
                 if best:
-                    passages.append((-best[0], int(a) - best[1], int(a), k, best[1]))
+                    passages.append((-best[0], int(a) - best[1], int(a), int(k), best[1]))
         out: list[Match] = []
         for dice, _, a, k, z in sorted(passages):
             if all(z + 1 < m.first or a > m.last for m in out):
