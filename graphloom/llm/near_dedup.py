@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, batch, map_batches, mix64, table, written
+from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, table, written
 
 #: Bands of ROWS registers. At similarity 0.8 all bands differ with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7.
 BANDS, ROWS, MANTISSA = 40, 5, 10
@@ -182,11 +182,14 @@ def grouped(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     pivots = sizes.select("pivot", F.col("pivot").alias("key"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
     dealt = dealt.select("pivot", "key", "blocks", "block", "kind").unionByName(pivots.select("pivot", "key", "blocks", "block", "kind"))
 
+    needed = written(dealt.select("key").distinct(), "needed")
+    ready = key_filter(needed)
+
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = [x.tobytes() for t in as_bytes(b.column(0)) if len(x := shingle_set(t, k)) > 3]
-        return batch(key=pa.array([xxhash.xxh3_128_digest(x) for x in s], pa.binary()), s=pa.array(s, pa.binary()))
+        s = [shingle_set(t, k).tobytes() for t in as_bytes(b.column(0))]
+        out = batch(key=pa.array([xxhash.xxh3_128_digest(x) for x in s], pa.binary()), s=pa.array(s, pa.binary()))
+        return out.filter(pa.array(may_hold(ready.value, out.column(0).to_pylist())))
 
-    needed = written(dealt.select("key").distinct(), "needed")
     texts = map_batches(docs.select(F.col("text").cast("binary").alias("text")), sets, "key binary, s binary")
     texts = written(texts.join(needed, "key", "left_semi").groupBy("key").agg(F.first("s").alias("s")), "sets")
     return written(dealt.join(texts, "key").select("pivot", "blocks", "block", "kind", "key", "s"), "dealt")
