@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import written  # noqa: F401  for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="graphloom-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_local_dir()}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df written to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -43,13 +25,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that a function over batches gets at once.
+SLICE = 512
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over Arrow batches, each of bounded row count; order and partitioning stay."""
+    """fn over Arrow batches of SLICE rows at most, so what it holds at once is small; order and partitioning stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for i in range(0, batch.num_rows, SLICE):
+                if (out := fn(batch.slice(i, SLICE))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_h
 
 LENGTH, K = 400, 128
 #: Bytes of text hashed at once, windows of a segment at most, bytes of a suffix array, and of one hash's share in it.
-PIECE, RUN, SHARD, SHARE = 1 << 19, 512, 3 << 20, 1 << 20
+PIECE, RUN, SHARD, SHARE = 1 << 19, 512, 3 << 19, 1 << 20
 
 _rng = np.random.default_rng(20240301)
 _BYTE = _rng.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
