@@ -191,7 +191,7 @@ def grouped(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         return out.filter(pa.array(may_hold(ready.value, out.column(0).to_pylist())))
 
     texts = map_batches(docs.select(F.col("text").cast("binary").alias("text")), sets, "key binary, s binary")
-    texts = written(texts.join(needed, "key", "left_semi").groupBy("key").agg(F.first("s").alias("s")), "sets")
+    texts = written(texts.groupBy("key").agg(F.first("s").alias("s")).join(needed, "key"), "sets")
     return written(dealt.join(texts, "key").select("pivot", "blocks", "block", "kind", "key", "s"), "dealt")
 
 
