@@ -66,8 +66,8 @@ for _name, _expr, _sql in [
     ("pred_empty_or", any_of(), "false"),
 ]:
     add(_name, f"{ORDER} WHERE {_sql}")(lambda g, e=_expr: _nodes(g, "Order", e, "total"))
-add("prop_in_large", f"SELECT c_custkey AS id FROM customer WHERE c_custkey IN ({', '.join(str(i * 7) for i in range(40))})")(
-    lambda g: g.label("Customer").filter(F.col("id").isin([i * 7 for i in range(40)])).select("id")
+add("prop_in_large", f"SELECT p_partkey AS id, p_size AS size FROM part WHERE p_size IN ({', '.join(map(str, range(0, 51, 3)))})")(
+    lambda g: _nodes(g, "Part", prop("a", "size").is_in(list(range(0, 51, 3))), "size")
 )
 add("prop_scan", "SELECT p_partkey AS a FROM part WHERE p_size BETWEEN 10 AND 20")(lambda g: physical.prop_scan(g, "Part", "a", (prop("a", "size").between(10, 20)).node))
 
@@ -119,7 +119,7 @@ add("expand_distinct_neighbors", f"WITH {LINKS}, d AS (SELECT DISTINCT src, dst
 )
 add(
     "expand_two_hop",
-    "SELECT c_name AS customer, p_name AS part, l_quantity * 0 + p_size AS size FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'BUILDING' AND p_size < 5",
+    "SELECT c_name AS customer, p_name AS part, CAST(p_size AS DOUBLE) AS size FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'BUILDING' AND p_size < 5",
 )(
     lambda g: _query(g).match("c", "Customer").match("o", "Order").match("p", "Part").where("c", "PLACED", "o").where("o", "CONTAINS", "p")
     .filter(all_of(prop("c", "segment") == "BUILDING", prop("p", "size") < 5)).select(("c.name", "customer"), ("p.name", "part"), ("p.size", "size")).df().withColumn("size", F.col("size").cast("double"))
@@ -239,6 +239,7 @@ add("property_stats", 'SELECT count(*) AS row_count, count(quality) AS non_null_
 add("verify_dangling", "SELECT count(*) AS lost FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")(
     lambda g: statistics.verify(PropertyGraph({**g.nodes, "Customer": g.label("Customer").filter("balance > 0")}, {"PLACED": g.edges["PLACED"]})).filter("finding = 'dangling_src'").select(F.col("count").alias("lost"))
 )
+add("all_edges", f"WITH {LINKS} SELECT type, edge_id, src, dst FROM e")(lambda g: statistics.all_edges(PropertyGraph(g.nodes, {k: g.edges[k] for k in EVENTS})))
 add("full_graph_edges", f"WITH {LINKS} SELECT DISTINCT src, dst FROM e")(lambda g: statistics.full_graph(g, EVENTS))
 
 # --- mutations ------------------------------------------------------------------------------------------------------------

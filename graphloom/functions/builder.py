@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -143,6 +145,11 @@ class QueryBuilder:
         out = {"request_id": self.spec.request_id, "features": [], "rows": got if max_rows is None else got[:max_rows]}
         return out if max_rows is None else {**out, "row_limit": max_rows, "truncated": len(got) > max_rows}
 
+    def json(self, max_rows: int | None = None) -> str:
+        """The envelope as JSON text: bytes as base64, dates and times in ISO form."""
+        shown = lambda v: base64.b64encode(v).decode() if isinstance(v, bytes | bytearray) else v.isoformat() if hasattr(v, "isoformat") else str(v)
+        return json.dumps(self.envelope(max_rows), default=shown)
+
     def stream(self) -> Cursor:
         return Cursor(self.df(), self.spec.request_id)
 

@@ -76,6 +76,16 @@ class PropertyGraph:
             return some.df.filter(F.lit(False)).select("src", "dst", "edge_id", F.lit("").alias("type"))
         return reduce(DataFrame.unionByName, (self.edges[n].df.select("src", "dst", "edge_id", F.lit(n).alias("type")) for n in fits))
 
+    def with_index(self, label: str, prop: str) -> PropertyGraph:
+        """Notes that a property is looked up often. Results don't depend on it; save() sorts the label's files by it, so
+        that their statistics prune."""
+        if prop not in self.props(label):
+            raise GraphError("UnknownProperty", f"property '{prop}' not defined on label '{label}'")
+        return replace(self, indexes=self.indexes | {(label, prop)})
+
+    def without_index(self, label: str, prop: str) -> PropertyGraph:
+        return replace(self, indexes=self.indexes - {(label, prop)})
+
     def with_node_table(self, label: str, df: DataFrame) -> PropertyGraph:
         return replace(self, nodes={**self.nodes, label: df})
 

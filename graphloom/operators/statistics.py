@@ -36,6 +36,16 @@ def all_nodes(graph: PropertyGraph) -> DataFrame:
     return _all([df.select(F.lit(n).alias("label"), F.col("id").cast("long").alias("id")) for n, df in sorted(graph.nodes.items())])
 
 
+def all_edges(graph: PropertyGraph) -> DataFrame:
+    """(type, edge_id, src, dst) of all edges."""
+    return graph.links().select("type", "edge_id", "src", "dst")
+
+
+def summary(graph: PropertyGraph) -> dict:
+    """Counts of nodes by label and of edges by type."""
+    return {"labels": {r.label: r["count"] for r in label_counts(graph).collect()}, "types": {r.type: r["count"] for r in type_counts(graph).collect()} if graph.edges else {}}
+
+
 def sample_labels(graph: PropertyGraph, nodes: int, labels: int) -> DataFrame:
     """(label, count) among the first nodes by id and label: the most frequent labels, equal ones by name."""
     first = all_nodes(graph).orderBy("id", "label").limit(nodes)

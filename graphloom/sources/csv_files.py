@@ -225,11 +225,13 @@ def export_edges(graph: PropertyGraph, path: str, types: list[str] | None = None
 
 
 def save(graph: PropertyGraph, path: str) -> None:
-    """A graph as Parquet: one folder for each label and type."""
+    """A graph as Parquet: one folder for each label and type; files are sorted by an indexed property, edges by source."""
     for n, df in graph.nodes.items():
+        if by := sorted(p for label, p in graph.indexes if label == n):
+            df = df.sortWithinPartitions(*by)
         df.write.mode("overwrite").parquet(f"{path}/nodes/{n}")
     for n, t in graph.edges.items():
-        t.df.write.mode("overwrite").parquet(f"{path}/edges/{n}")
+        t.df.sortWithinPartitions("src").write.mode("overwrite").parquet(f"{path}/edges/{n}")
 
 
 def load(spark: SparkSession, path: str, labels: list[str], types: dict[str, tuple[str | None, str | None]]) -> PropertyGraph:

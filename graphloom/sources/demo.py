@@ -25,3 +25,22 @@ def random_graph(spark: SparkSession, nodes: int, edges: int, types: int = 3, se
         {"User": users},
         {f"T{t}": EdgeTable(spark.createDataFrame([(s, d, e, w) for s, d, e, k, w in rows if k == t], "src long, dst long, edge_id long, weight long"), "User", "User") for t in range(types)},
     )
+
+
+def social_graph(spark: SparkSession, nodes: int = 400, edges: int = 2400, seed: int = 42) -> PropertyGraph:
+    """Persons, some with a second label, and three kinds of unique links without self-loops."""
+    rng = random.Random(seed)
+    cities, teams = ("Lisbon", "Oslo", "Quito", "Nairobi", "Hanoi"), ("Core", "Data", "Design", "Field")
+    roles = (None, "Mentor", "Manager", "Contributor")
+    people = [(i, f"person-{i}", f"@p{i}", rng.choice(teams), rng.choice(cities), rng.choice(roles)) for i in range(1, nodes + 1)]
+    persons = spark.createDataFrame(people, "id long, name string, handle string, team string, city string, role string")
+    kinds, links = ("FOLLOWS", "MENTORS", "COLLABORATES_WITH"), {}
+    while len(links) < edges:
+        src, dst, kind = rng.randint(1, nodes), rng.randint(1, nodes), rng.choice(kinds)
+        if src != dst:
+            links.setdefault((src, dst, kind), round(rng.random(), 2))
+    tables = {
+        k: EdgeTable(spark.createDataFrame([(s, d, e, w) for e, ((s, d, t), w) in enumerate(links.items()) if t == k], "src long, dst long, edge_id long, strength double"), "Person", "Person")
+        for k in kinds
+    }
+    return PropertyGraph({"Person": persons} | {r: persons.filter(persons.role == r) for r in roles if r}, tables)

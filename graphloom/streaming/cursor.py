@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -55,6 +56,27 @@ class Cursor:
         self.closed, self._rows = True, None
 
 
+def profile(df: DataFrame) -> dict:
+    """Runs a query without keeping its rows: seconds, and each physical operator's metrics."""
+    began = time.perf_counter()
+    query = df._jdf.queryExecution()
+    rows = query.toRdd().count()
+    took, out, todo = time.perf_counter() - began, [], [query.executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        seq = node.metrics().toSeq()
+        metrics = {seq.apply(i)._1(): seq.apply(i)._2().value() for i in range(seq.size())}
+        out.append({"op": node.nodeName(), "metrics": metrics})
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        if hasattr(node, "plan") and "QueryStage" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+    return {"seconds": took, "rows": rows, "operators": out}
+
+
 def edge_feed(spark: SparkSession, path: str, schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """An extension: new edge files of a folder, each micro-batch handed to sink(edges, batch number) once."""
     feed = spark.readStream.schema(schema).parquet(path)

@@ -229,6 +229,49 @@ def test_typed(spark):
         TypedDatabase(spark, g, {"nodes": {}, "edges": {"E": {"from": "X", "to": "Y"}}})
 
 
+def test_json_profile_and_indexes(spark, demo, tmp_path):
+    import json
+
+    from graphloom.sources.csv_files import load, save
+    from graphloom.streaming.cursor import profile
+
+    q = Database(spark, demo).query().match("a", "User").filter(prop("a", "name") == "Ada").select("a.name").request_id("r2")
+    assert json.loads(q.json(5)) == {"request_id": "r2", "features": [], "rows": [{"name": "Ada"}], "row_limit": 5, "truncated": False}
+    told = profile(q.df())
+    assert told["rows"] == 1 and told["operators"]
+    g = demo.with_index("User", "name")
+    save(g, str(tmp_path / "g"))
+    assert load(spark, str(tmp_path / "g"), ["User"], {"FOLLOWS": ("User", "User")}).links().count() == 3
+    assert not g.without_index("User", "name").indexes
+    with pytest.raises(GraphError, match="UnknownProperty"):
+        demo.with_index("User", "wings")
+    assert statistics.summary(demo) == {"labels": {"User": 3}, "types": {"FOLLOWS": 3}}
+
+
+def test_generated_and_benchmark_files(spark, tmp_path):
+    from graphloom.sources.demo import social_graph
+    from graphloom.sources.ldbc import ldbc_graph
+
+    g = social_graph(spark, 60, 200)
+    assert g.label("Person").count() == 60 and g.links().count() == 200
+    assert g.links().filter("src = dst").count() == 0 and statistics.verify(g).filter("count > 0").count() == 0
+    (tmp_path / "p.csv").write_text("id|firstName|lastName|gender\n1|A|B|f\n2|C|D|m\n")
+    (tmp_path / "k.csv").write_text("Person.id|Person.id|creationDate\n1|2|2010\n")
+    g = ldbc_graph(spark, str(tmp_path / "p.csv"), str(tmp_path / "k.csv"))
+    assert sorted((r.src, r.dst) for r in g.links().collect()) == [(1, 2), (2, 1)]
+    assert sorted(r.name for r in g.label("User").collect()) == ["A B", "C D"]
+
+
+def test_edge_feed(spark, tmp_path):
+    from graphloom.streaming.cursor import edge_feed
+
+    spark.createDataFrame([(1, 2, 7)], "src long, dst long, edge_id long").write.parquet(str(tmp_path / "in"))
+    got = []
+    feed = edge_feed(spark, str(tmp_path / "in"), "src long, dst long, edge_id long", lambda df, _: got.extend(map(tuple, df.collect())), str(tmp_path / "ck"))
+    feed.awaitTermination(60)
+    assert got == [(1, 2, 7)]
+
+
 def test_stress_invariants(spark):
     rng = random.Random(9)
     for seed in rng.sample(range(100), 2):
