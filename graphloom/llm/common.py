@@ -82,5 +82,23 @@ def key_filter(keys: DataFrame):
 
 def may_hold(table_: np.ndarray, keys: list[bytes]) -> np.ndarray:
     """For each digest, whether it may be in the filter."""
+    if not keys:
+        return np.zeros(0, bool)
     p = np.frombuffer(b"".join(keys), ">u4").reshape(len(keys), -1)[:, :3].astype(np.int64) % (len(table_) * 64)
     return (((table_[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)) == 1).all(1)
+
+
+def parted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sure, maybe): rows of df whose key, a digest, is certainly in none of keys, and the others with it as `__key`.
+
+    Only the latter need a join with what belongs to the keys, so few of df's rows travel. df is read twice."""
+    ready = key_filter(keys.select("key"))
+    marked = df.withColumn("__key", key)
+    at = len(df.columns)
+
+    def run(b: pa.RecordBatch, wanted: bool) -> pa.RecordBatch:
+        held = may_hold(ready.value, b.column(at).to_pylist())
+        out = b.filter(pa.array(held if wanted else ~held))
+        return out if wanted else out.select(b.schema.names[:-1])
+
+    return map_batches(marked, lambda b: run(b, False), df.schema), map_batches(marked, lambda b: run(b, True), marked.schema)

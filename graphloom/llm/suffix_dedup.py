@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, table, written
+from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, partitions, table, written
 
 LENGTH, K = 400, 128
 #: Bytes of text hashed at once, windows of a segment at most, bytes of a suffix array, and of one hash's share in it.
-PIECE, RUN, SHARD, SHARE = 1 << 19, 512, 3 << 19, 1 << 20
+PIECE, RUN, SHARD, SHARE = 1 << 19, 512, 3 << 19, 1 << 18
 
 _rng = np.random.default_rng(20240301)
 _BYTE = _rng.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -301,9 +301,21 @@ def chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 def found_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, spans): for each distinct text with repeated windows, flat starts and ends of runs of window starts."""
     texts = rows.groupBy("key").agg(F.first("anchors").alias("anchors"))
-    dealt = texts.select("key", F.explode("anchors").alias("h"))
-    often = written(dealt.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "often")
-    wanted = written(dealt.distinct().join(often, "h").groupBy("key").agg(F.collect_list("h").alias("hs")), "wanted")
+    often = written(texts.select(F.explode("anchors").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "often")
+    ready = key_filter(often.select(F.unhex(F.md5(F.col("h").cast("string").cast("binary"))).alias("key")))
+
+    def known(b: pa.RecordBatch) -> pa.RecordBatch:
+        hs = [np.unique(np.array(a, np.int64)) for a in b.column(1).to_pylist()]
+        flat = np.concatenate([np.zeros(0, np.int64), *hs])
+        held = may_hold(ready.value, [hashlib.md5(b"%d" % h).digest() for h in flat.tolist()])
+        cut = np.cumsum([0, *map(len, hs)])
+        hs = [flat[a:z][held[a:z]] for a, z in zip(cut, cut[1:])]
+        return batch(key=b.column(0), hs=pa.array(hs, pa.list_(pa.int64()))).filter(pa.array([len(x) > 0 for x in hs], pa.bool_()))
+
+    # the filter spares most hashes the way to the join, which then decides
+    maybe = map_batches(rows.filter(F.size("anchors") > 0).select("key", "anchors"), known, "key binary, hs array<long>").groupBy("key").agg(F.first("hs").alias("hs"))
+    wanted = maybe.select("key", F.explode("hs").alias("h")).join(often, "h").groupBy("key").agg(F.collect_list("h").alias("hs"))
+    wanted = written(wanted, "wanted")
     source = written(chosen_texts(docs, wanted), "candidates")
 
     def cut(b: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
@@ -322,12 +334,13 @@ def found_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     schema = "key binary, h long, d binary, first int, s binary"
     pieces = map_batches(source, lambda b: cut(b, True), schema).groupBy("h", "d").agg(F.count("*").alias("n"), F.first("s").alias("s"))
     pieces = written(pieces, "pieces")
-    sizes = written(pieces.groupBy("h").agg(F.count("*").alias("kinds"), F.ceil(F.sum(F.octet_length("s") + 8) / SHARE).cast("int").alias("parts")), "sizes")
+    sizes = written(pieces.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.octet_length("s") + 8).alias("size")).withColumn("parts", F.ceil(F.col("size") / SHARE).cast("int")), "sizes")
     sized = pieces.join(sizes, "h")
     # all windows of a hash's only segment repeat if it occurs again; if not, it can still repeat within itself
     alone = sized.filter("kinds = 1 AND n > 1").select("h", "d", F.array(F.lit(0), F.octet_length("s") - (LENGTH - 1)).alias("spans"))
     shards = sized.filter("kinds > 1 OR n = 1").select("h", F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"), "parts", "d", (F.col("n") > 1).alias("many"), "s")
-    shards = shards.repartition("h", "part").sortWithinPartitions("h", "part")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    shards = shards.repartition(max(partitions(docs.sparkSession), total // SHARD), "h", "part").sortWithinPartitions("h", "part")
     sorted_ = written(shards.mapInArrow(_sorted_shards, "h long, d binary, spans array<int>, cut int, part int, digests binary"), "shards")
     hits = sorted_.filter("digests IS NULL").select("h", "d", "spans").unionByName(alone)
     digests = sorted_.filter("digests IS NOT NULL").select("h", "d", "cut", "digests")
