@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
-from graphloom.llm.common import map_batches, table, written
+from graphloom.llm.common import map_batches, parted, table, written
 
 #: No SQL: a trained model and a byte-pair encoder take part. tests/llm holds each stage against brute force.
 ORACLE_SQL = None
@@ -31,10 +31,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = near_dedup.classes(rows, k=5, id_col="__row")
     ids = rows.select(F.col("__row").alias("id"), F.struct(F.col("doc_id"), F.xxhash64("text"), F.col("__row")).alias("__order"))
-    groups = found.filter("n_shingles > 0").join(ids, "id")
-    first = groups.groupBy("component_id").agg(F.min("__order").alias("__order")).select(F.col("__order.__row").alias("__row"))
-    keep = first.unionByName(found.filter("n_shingles = 0").select(F.col("id").alias("__row")))
-    return rows.join(written(keep, "keep"), "__row", "left_semi").select(docs.columns)
+    groups = written(found.filter("n_shingles > 0").join(ids, "id").select("component_id", "__order"), "groups")
+    first = groups.groupBy("component_id").agg(F.min("__order").alias("__first"))
+    key = F.unhex(F.md5(F.col("__row").cast("string").cast("binary")))
+    gone = groups.join(first, "component_id").filter("__order <> __first").select(F.col("__order.__row").alias("__row"))
+    gone = written(gone.select(key.alias("key")), "gone")
+    sure, maybe = parted(rows, key, gone)
+    kept = maybe.join(gone.withColumnRenamed("key", "__key"), "__key", "left_anti")
+    return sure.select(docs.columns).unionByName(kept.select(docs.columns))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +46,8 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     left. A character of which only some bytes are covered goes as a whole. A null text stays null."""
     _, spans = suffix_dedup.repeats(docs)
     at, n_at = docs.columns.index("text"), docs.columns.index("n_chars")
-    marked = docs.withColumn("__key", suffix_dedup.text_key(F.col("text"))).join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
-    marked = marked.select(*docs.columns, "__spans")
+    sure, maybe = parted(docs, suffix_dedup.text_key(F.col("text")), spans)
+    marked = maybe.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left").select(*docs.columns, "__spans")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         spans, texts, sizes = b.column(b.num_columns - 1).to_pylist(), b.column(at).to_pylist(), b.column(n_at).to_pylist()
@@ -58,7 +62,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         columns[at], columns[n_at] = pa.array(texts, columns[at].type), pa.array(sizes, columns[n_at].type)
         return pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return map_batches(marked, run, docs.schema)
+    return sure.unionByName(map_batches(marked, run, docs.schema))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
