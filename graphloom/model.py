@@ -8,6 +8,7 @@ an id space (multi-label nodes) simply share rows' ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -20,33 +21,59 @@ KEYS = "__keys"
 NODE_COLUMNS, EDGE_COLUMNS = ("id", KEYS), ("src", "dst", "edge_id", KEYS)
 
 
-@dataclass(frozen=True)
 class EdgeTable:
-    """Edges of one type. src_label and dst_label are the labels of the endpoints; None: any label."""
+    """Edges of one type. src_label and dst_label are the labels of the endpoints; None: any label. The table may be given
+    as a function without arguments, which is called when the edges are first used."""
+
+    def __init__(self, df: DataFrame | Callable[[], DataFrame], src_label: str | None = None, dst_label: str | None = None):
+        self._df, self.src_label, self.dst_label = df, src_label, dst_label
 
-    df: DataFrame
-    src_label: str | None = None
-    dst_label: str | None = None
+    @property
+    def df(self) -> DataFrame:
+        if not isinstance(self._df, DataFrame):
+            self._df = self._df()
+        if missing := {"src", "dst", "edge_id"} - set(self._df.columns):
+            raise GraphError("InvalidGraph", f"an edge table has no column {sorted(missing)}")
+        return self._df
 
     @property
     def props(self) -> list[str]:
         return [c for c in self.df.columns if c not in EDGE_COLUMNS]
 
 
+class NodeTables(Mapping):
+    """Node tables by label, each a DataFrame or a function that gives one when its label is first used."""
+
+    def __init__(self, tables: dict):
+        self._tables = dict(tables._tables if isinstance(tables, NodeTables) else tables)
+
+    def __getitem__(self, label: str) -> DataFrame:
+        df = self._tables[label]
+        if not isinstance(df, DataFrame):
+            df = self._tables[label] = df()
+        if "id" not in df.columns:
+            raise GraphError("InvalidGraph", f"node table '{label}' has no column 'id'")
+        return df
+
+    def __iter__(self):
+        return iter(self._tables)
+
+    def __len__(self) -> int:
+        return len(self._tables)
+
+    def plus(self, label: str, df: DataFrame) -> NodeTables:
+        return NodeTables({**self._tables, label: df})
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
-    nodes: dict[str, DataFrame]
+    nodes: Mapping[str, DataFrame]
     edges: dict[str, EdgeTable]
     distinct_neighbors: bool = False
     indexes: frozenset[tuple[str, str]] = field(default=frozenset())
 
     def __post_init__(self):
-        for label, df in self.nodes.items():
-            if "id" not in df.columns:
-                raise GraphError("InvalidGraph", f"node table '{label}' has no column 'id'")
-        for name, table in self.edges.items():
-            if missing := {"src", "dst", "edge_id"} - set(table.df.columns):
-                raise GraphError("InvalidGraph", f"edge table '{name}' has no column {sorted(missing)}")
+        object.__setattr__(self, "nodes", NodeTables(self.nodes))
 
     def label(self, name: str) -> DataFrame:
         if name not in self.nodes:
@@ -87,10 +114,11 @@ class PropertyGraph:
         return replace(self, indexes=self.indexes - {(label, prop)})
 
     def with_node_table(self, label: str, df: DataFrame) -> PropertyGraph:
-        return replace(self, nodes={**self.nodes, label: df})
+        return replace(self, nodes=self.nodes.plus(label, df))
 
     def with_edge_table(self, name: str, df: DataFrame) -> PropertyGraph:
-        return replace(self, edges={**self.edges, name: replace(self.edges[name], df=df) if name in self.edges else EdgeTable(df)})
+        old = self.edges.get(name)
+        return replace(self, edges={**self.edges, name: EdgeTable(df, old.src_label, old.dst_label) if old else EdgeTable(df)})
 
 
 def present(df: DataFrame, prop: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,35 +20,43 @@ def _nodes(df: DataFrame, key: str, **props: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), *(F.col(c).alias(p) for p, c in props.items()))
 
 
+def _links(df: DataFrame, src: str, dst: str, edge_id: str, **props: str) -> DataFrame:
+    ends = (F.expr(e).cast("long").alias(n) for e, n in ((src, "src"), (dst, "dst"), (edge_id, "edge_id")))
+    return df.select(*ends, *(F.col(c).alias(p) for p, c in props.items()))
+
+
 def table_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, parts, orders and documents with their relations; events link customers.
 
     Edge ids of lineitem relations come from order, line and part, and may repeat where the table's own keys do."""
-    t = {n: read(spark, folder, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")}
-    documents = t["documents"].join(t["labels"].withColumnRenamed("doc_id", "label_id"), F.col("doc_id") == F.col("label_id"), "left")
-    nodes = {
-        "Region": _nodes(t["region"], "r_regionkey", name="r_name"),
-        "Nation": _nodes(t["nation"], "n_nationkey", name="n_name"),
-        "Customer": _nodes(t["customer"], "c_custkey", name="c_name", balance="c_acctbal", segment="c_mktsegment"),
-        "Supplier": _nodes(t["supplier"], "s_suppkey", name="s_name", balance="s_acctbal"),
-        "Part": _nodes(t["part"], "p_partkey", name="p_name", brand="p_brand", type="p_type", size="p_size", price="p_retailprice"),
-        "Order": _nodes(t["orders"], "o_orderkey", status="o_orderstatus", total="o_totalprice", placed="o_orderdate", priority="o_orderpriority"),
-        "Document": _nodes(documents, "doc_id", lang="lang", source="source", chars="n_chars", quality="quality", toxic="toxic"),
-    }
+    t = lambda name: read(spark, folder, name)
 
-    def link(df: DataFrame, src, dst, edge_id, **props: str) -> DataFrame:
-        return df.select(F.expr(src).cast("long").alias("src"), F.expr(dst).cast("long").alias("dst"), F.expr(edge_id).cast("long").alias("edge_id"), *(F.col(c).alias(p) for p, c in props.items()))
+    def documents() -> DataFrame:
+        labels = t("labels").withColumnRenamed("doc_id", "label_id")
+        joined = t("documents").join(labels, F.col("doc_id") == F.col("label_id"), "left")
+        return _nodes(joined, "doc_id", lang="lang", source="source", chars="n_chars", quality="quality", toxic="toxic")
 
+    # tables are opened when their label or type is used
+    nodes = {
+        "Region": lambda: _nodes(t("region"), "r_regionkey", name="r_name"),
+        "Nation": lambda: _nodes(t("nation"), "n_nationkey", name="n_name"),
+        "Customer": lambda: _nodes(t("customer"), "c_custkey", name="c_name", balance="c_acctbal", segment="c_mktsegment"),
+        "Supplier": lambda: _nodes(t("supplier"), "s_suppkey", name="s_name", balance="s_acctbal"),
+        "Part": lambda: _nodes(t("part"), "p_partkey", name="p_name", brand="p_brand", type="p_type", size="p_size", price="p_retailprice"),
+        "Order": lambda: _nodes(t("orders"), "o_orderkey", status="o_orderstatus", total="o_totalprice", placed="o_orderdate", priority="o_orderpriority"),
+        "Document": documents,
+    }
     line = "l_orderkey * 8 + l_linenumber"
     edges = {
-        "IN_REGION": EdgeTable(link(t["nation"], "n_nationkey", "n_regionkey", "n_nationkey"), "Nation", "Region"),
-        "LIVES_IN": EdgeTable(link(t["customer"], "c_custkey", "c_nationkey", "c_custkey"), "Customer", "Nation"),
-        "BASED_IN": EdgeTable(link(t["supplier"], "s_suppkey", "s_nationkey", "s_suppkey"), "Supplier", "Nation"),
-        "PLACED": EdgeTable(link(t["orders"], "o_custkey", "o_orderkey", "o_orderkey"), "Customer", "Order"),
-        "CONTAINS": EdgeTable(link(t["lineitem"], "l_orderkey", "l_partkey", line, quantity="l_quantity", price="l_extendedprice"), "Order", "Part"),
-        "SUPPLIED_BY": EdgeTable(link(t["lineitem"], "l_partkey", "l_suppkey", line), "Part", "Supplier"),
+        "IN_REGION": EdgeTable(lambda: _links(t("nation"), "n_nationkey", "n_regionkey", "n_nationkey"), "Nation", "Region"),
+        "LIVES_IN": EdgeTable(lambda: _links(t("customer"), "c_custkey", "c_nationkey", "c_custkey"), "Customer", "Nation"),
+        "BASED_IN": EdgeTable(lambda: _links(t("supplier"), "s_suppkey", "s_nationkey", "s_suppkey"), "Supplier", "Nation"),
+        "PLACED": EdgeTable(lambda: _links(t("orders"), "o_custkey", "o_orderkey", "o_orderkey"), "Customer", "Order"),
+        "CONTAINS": EdgeTable(lambda: _links(t("lineitem"), "l_orderkey", "l_partkey", line, quantity="l_quantity", price="l_extendedprice"), "Order", "Part"),
+        "SUPPLIED_BY": EdgeTable(lambda: _links(t("lineitem"), "l_partkey", "l_suppkey", line), "Part", "Supplier"),
     }
+    events = cache(lambda: t("events"))
     for kind in EVENT_TYPES:
-        some = t["events"].filter(F.col("event_type") == kind)
-        edges[kind] = EdgeTable(link(some, "user_id", "get_json_object(props, '$.k')", "event_id", ts="ts", value="value"), "Customer", "Customer")
+        some = lambda kind=kind: _links(events().filter(F.col("event_type") == kind), "user_id", "get_json_object(props, '$.k')", "event_id", ts="ts", value="value")
+        edges[kind] = EdgeTable(some, "Customer", "Customer")
     return PropertyGraph(nodes, edges)
