@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,19 +28,40 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows that a function over batches gets at once.
-SLICE = 512
+#: Rows that a function over batches gets at once, and rows of an Arrow batch, which both sides hold in memory.
+SLICE, ARROW_ROWS = 512, 1024
+ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over Arrow batches of SLICE rows at most, so what it holds at once is small; order and partitioning stay."""
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ARROW_ROWS: texts can be long, and thousands of them fill memory
+    outside the heap. A smaller setting stays."""
+    if not 0 < int(spark.conf.get(ARROW_CONF)) <= ARROW_ROWS:
+        spark.conf.set(ARROW_CONF, str(ARROW_ROWS))
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: idle workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """fn over Arrow batches of SLICE rows at most, so what it holds at once is small; order and partitioning stay.
+    after is called when a partition ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 if (out := fn(batch.slice(i, SLICE))) is not None:
                     yield out
+        if after:
+            after()
+        release()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

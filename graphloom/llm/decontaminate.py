@@ -124,15 +124,16 @@ def build(items: list[tuple[int, bytes]]) -> Block:
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Block]:
     """The items, streamed to the driver and cut after `most` words. Items of one id count as one item with several
     texts; items without id or text are left out."""
-    held, n = [], 0
+    held, n, some = [], 0, False
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).dropna().toLocalIterator():
         text = bytes(r["text"])
         held.append((r.item_id, text))
         n += len(words(text))
         if n >= most:
             yield build(held)
-            held, n = [], 0
-    yield build(held)
+            held, n, some = [], 0, True
+    if held or not some:
+        yield build(held)
 
 
 def ranked(docs: DataFrame, block: Block) -> Block:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, table, written
+from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, release, table, written
 
 #: Bands of ROWS registers. At similarity 0.8 all bands differ with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7.
 BANDS, ROWS, MANTISSA = 40, 5, 10
@@ -208,6 +208,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
             held.append((kind[i], key[i], np.frombuffer(s[i], np.uint64)))
     if held:
         yield now, held
+    release()
 
 
 def linked(dealt: DataFrame, at_least: tuple[int, int]) -> DataFrame:

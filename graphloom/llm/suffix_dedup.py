@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, partitions, table, written
+from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, partitions, release, table, written
 
 LENGTH, K = 400, 128
 #: Bytes of text hashed at once, windows of a segment at most, bytes of a suffix array, and of one hash's share in it.
@@ -196,6 +196,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             size += len(row[5]) + 8
     if held:
         yield held
+    release()
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,6 +95,8 @@ class Model:
 
 def posterior(votes: np.ndarray, balance: float) -> np.ndarray:
     """P(toxic) of each row by the label model; balance: the share of toxic rows, which stays as given."""
+    if not len(votes):
+        return np.zeros(0)
     balance = float(np.clip(balance, 0.005, 0.5))
     prior = np.log(balance / (1 - balance))
     fired = votes != 0
