@@ -3,10 +3,17 @@
 Texts are normalised to lower-case words. Word bigrams that occur in a template are located in a document; a passage is a
 stretch between two of them. With threshold t and a template of b bigrams, a passage must have between b t / (2 - t) and
 b (2 - t) / t bigrams, and the document at least b t / (2 - t) of the template's; both bounds prune before any comparison.
+
+Licences contain each other's clauses and notices, or differ in few words. Of overlapping passages the one with the largest
+agreement is taken: bigrams shared with its template, less those that only one of both has. So a whole licence wins over the
+notice in its appendix, three clauses win over the first two, and the nearest of several versions wins.
 """
 
 from __future__ import annotations
 
+import heapq
+import pkgutil
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,6 +27,32 @@ from graphloom.llm.decontaminate import words
 
 THRESHOLD = 0.8
 
+#: Licences whose full text is a template, from licence_texts/.
+FULL = ["AGPL-3.0", "Apache-1.1", "Apache-2.0", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense"]
+
+_BSD_TWO = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1.
+        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in
+        binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution."""
+_BSD_AD = """All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software
+        developed by the organization."""
+_BSD_NAME = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission."""
+_BSD_NO_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+        TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+        LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+        TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _gnu(name: str, version: str, what: str = "program", mark: str = ";") -> str:
+    """The notice by which the Free Software Foundation's licences are applied."""
+    return f"""This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} License as published by the Free Software
+        Foundation{mark} either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful,
+        but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} License for more
+        details."""
+
+
 #: Fixed texts: licence statements and licences, by identifier; a licence may have several.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -50,23 +83,29 @@ TEMPLATES: list[tuple[str, str]] = [
         INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
         OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ),
-    (
-        "BSD-2-Clause",
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1.
-        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in
-        binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution.""",
-    ),
+    ("BSD-2-Clause", _BSD_TWO),
+    ("BSD-2-Clause", f"{_BSD_TWO} {_BSD_NO_WARRANTY}"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", f"{_BSD_TWO} 3. {_BSD_NAME}"),
+    ("BSD-3-Clause", f"{_BSD_TWO} 3. {_BSD_NAME} {_BSD_NO_WARRANTY}"),
+    ("BSD-4-Clause", f"{_BSD_TWO} 3. {_BSD_AD} 4. {_BSD_NAME}"),
+    ("BSD-4-Clause", f"{_BSD_TWO} 3. {_BSD_AD} 4. {_BSD_NAME} {_BSD_NO_WARRANTY}"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
-        Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be
-        useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
-        License for more details.""",
-    ),
+    ("GPL-3.0", _gnu("General Public", "3", mark=",")),
+    ("GPL-2.0", _gnu("General Public", "2")),
+    ("GPL-1.0", _gnu("General Public", "1")),
+    ("LGPL-3.0", _gnu("Lesser General Public", "3", "library")),
+    ("LGPL-3.0", _gnu("Lesser General Public", "3")),
+    ("LGPL-2.1", _gnu("Lesser General Public", "2.1", "library")),
+    ("LGPL-2.1", _gnu("Lesser General Public", "2.1")),
+    ("LGPL-2.0", _gnu("Library General Public", "2", "library")),
+    ("LGPL-2.0", _gnu("Library General Public", "2")),
+    ("AGPL-3.0", _gnu("Affero General Public", "3")),
+    ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     (
@@ -74,6 +113,14 @@ TEMPLATES: list[tuple[str, str]] = [
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
         obtain one at https://mozilla.org/MPL/2.0/.""",
     ),
+    (
+        "MPL-1.1",
+        """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an "AS IS" basis, WITHOUT
+        WARRANTY OF ANY KIND, either express or implied. See the License for the specific language governing rights and limitations under the License.""",
+    ),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("Apache-1.0", "Licensed under the Apache License, Version 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -82,6 +129,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+TEMPLATES += [(name, (pkgutil.get_data("graphloom.llm", f"licence_texts/{name}.txt") or b"").decode()) for name in FULL]
 
 
 @dataclass
@@ -102,6 +150,8 @@ class Scanner:
         self.base = len(self.vocabulary) + 1
         self.grams = [np.unique(self._codes(self._ids(t))) for t in texts]
         self.all = np.unique(np.concatenate(self.grams))
+        self.least = np.array([len(g) * threshold / (2 - threshold) for g in self.grams])
+        self.most = np.array([len(g) * (2 - threshold) / threshold for g in self.grams])
         self.holds = np.stack([np.isin(self.all, g) for g in self.grams], 1)  # by bigram and template
 
     def _ids(self, found: list[bytes]) -> np.ndarray:
@@ -113,44 +163,63 @@ class Scanner:
         return np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * self.base + ids[1:], -1)
 
     def scan(self, text: bytes) -> list[Match]:
-        """The best passages, none overlapping another, by first word. Of passages with equal coefficient the longer, then
-        the earlier, then the first template's is taken."""
+        """Passages by first word, none overlapping another. Of a template's passages the one with the largest coefficient
+        comes first, then the longer, then the earlier; of several templates' first ones that with the largest agreement
+        is taken, then the longer, the earlier, the first template's."""
         found = words(text)
         codes = self._codes(self._ids(found))
         at = np.flatnonzero(codes > 0)
         place = np.minimum(np.searchsorted(self.all, codes[at]), len(self.all) - 1)
         same = self.all[place] == codes[at]
         at, place = at[same], place[same]
-        t, passages = self.threshold, []
-        least_of = np.array([len(g) * t / (2 - t) for g in self.grams]) - 1e-9
-        for k in np.flatnonzero(self.holds[np.unique(place)].sum(0) >= least_of) if len(at) else []:
-            grams, mine = self.grams[k], at[self.holds[place, k]]
-            least, most = len(grams) * t / (2 - t), len(grams) * (2 - t) / t
-            for i, a in enumerate(mine):
-                best = None
-                seen: set[int] = set()
-                for z in mine[i:]:
-                    if z - a + 1 > most * 4:
-                        break
-                    seen.add(int(codes[z]))
-                    size = len(self._distinct(found, int(a), int(z)))
-                    if size > most + 1e-9:
-                        break
-                    dice = 2 * len(seen) / (size + len(grams))
-                    if size >= least - 1e-9 and dice >= t - 1e-9 and (best is None or dice >= best[0]):
-                        best = dice, int(z)
-                if best:
-                    passages.append((-best[0], int(a) - best[1], int(a), int(k), best[1]))
+        hits = self.holds[np.unique(place)].sum(0) if len(at) else np.zeros(len(self.grams))
+        likely = np.flatnonzero(hits >= self.least - 1e-9)
+        if not len(likely):
+            return []
+        before, taken = _before(found), np.zeros(len(found), bool)
+
+        def free(k: int, rest: Iterator[tuple[float, int, int, int]]) -> None:
+            """The next passage of a template that overlaps none taken joins the heap."""
+            for dice, less, a, z in rest:
+                if not taken[a : z + 2].any():
+                    heapq.heappush(heap, (less, a - z, a, k, z, -dice, rest))
+                    return
+
+        heap: list[tuple] = []
+        for k in likely:
+            free(int(k), iter(sorted(self._passages(int(k), at[self.holds[place, k]], before))))
         out: list[Match] = []
-        for dice, _, a, k, z in sorted(passages):
-            if all(z + 1 < m.first or a > m.last for m in out):
-                out.append(Match(self.names[k], a, z + 1, -dice))
+        while heap:
+            _, _, a, k, z, dice, rest = heapq.heappop(heap)
+            if not taken[a : z + 2].any():
+                taken[a : z + 2] = True
+                out.append(Match(self.names[k], a, z + 1, dice))
+            free(k, rest)
         return sorted(out, key=lambda m: m.first)
 
-    @staticmethod
-    def _distinct(found: list[bytes], a: int, z: int) -> set[tuple[bytes, bytes]]:
-        """Distinct bigrams that start at words a to z."""
-        return set(zip(found[a : z + 1], found[a + 1 : z + 2], strict=True))
+    def _passages(self, k: int, mine: np.ndarray, before: np.ndarray) -> Iterator[tuple[float, int, int, int]]:
+        """(-coefficient, -agreement, first bigram, last bigram) of the best passage from each bigram in mine, those of
+        template k. A passage's distinct bigrams are those that don't occur between its start and themselves."""
+        n, least, most = len(self.grams[k]), self.least[k] - 1e-9, self.most[k] + 1e-9
+        for i, a in enumerate(mine[: max(0, len(mine) - int(np.ceil(least)) + 1)].tolist()):
+            sizes = np.cumsum(before[a : a + int(most * 4)] < a)
+            z = mine[i : i + np.searchsorted(mine[i:], a + np.searchsorted(sizes, most, "right"))]
+            size, shared = sizes[z - a], np.cumsum(before[z] < a)
+            dice = 2 * shared / (size + n)
+            good = np.flatnonzero((size >= least) & (dice >= self.threshold - 1e-9))
+            if len(good):
+                j = good[np.flatnonzero(dice[good] == dice[good].max())[-1]]
+                yield -float(dice[j]), int(size[j] + n - 3 * shared[j]), a, int(z[j])
+
+
+def _before(found: list[bytes]) -> np.ndarray:
+    """For each bigram its place of the last time before, or -1."""
+    last: dict[tuple[bytes, bytes], int] = {}
+    out = np.empty(max(0, len(found) - 1), np.int64)
+    for i, pair in enumerate(zip(found, found[1:])):
+        out[i] = last.get(pair, -1)
+        last[pair] = i
+    return out
 
 
 @lru_cache(4)

@@ -234,6 +234,26 @@ def test_licenses(spark):
         assert mine == pytest.approx(want) if want >= 0.8 else mine == 0
 
 
+def test_licence_versions_and_families():
+    """Each template comes back as itself, between other words and with a few of its own changed; none as a relative."""
+    scan = licenses.scanner().scan
+    for name, text in licenses.TEMPLATES:
+        assert [m.license for m in scan(f"foo bar {text} baz".encode())] == [name]
+    full = [(n, t) for n, t in licenses.TEMPLATES if len(t) > 1000]
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "Apache-2.0", "MPL-2.0", "BSD-3-Clause"} <= {n for n, _ in full}
+    for name, text in full:
+        w = text.split()
+        w[25::50] = ["other"] * len(w[25::50])
+        assert [m.license for m in scan(" ".join(w).encode())] == [name]
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and "redistribute" in t)
+    for name, words, version in [("GPL-2.0", "General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("AGPL-3.0", "Affero General", "3"), ("LGPL-3.0", "Lesser General", "3")]:
+        notice = gpl.replace("General", words).replace("version 3", f"version {version}")
+        assert [m.license for m in scan(notice.encode())] == [name]
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and "endorse" in t)
+    assert [m.license for m in scan(bsd.replace("the copyright holder", "Foo Inc").encode())] == ["BSD-3-Clause"]
+    assert [m.license for m in scan(b"Licensed under the Apache License, Version 1.1")] == ["Apache-1.1"]
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
