@@ -176,7 +176,7 @@ class Scanner:
         likely = np.flatnonzero(hits >= self.least - 1e-9)
         if not len(likely):
             return []
-        before, taken = _before(found), np.zeros(len(found), bool)
+        passages, taken = self._passages(likely.tolist(), at, place, found), np.zeros(len(found), bool)
 
         def free(k: int, rest: Iterator[tuple[float, int, int, int]]) -> None:
             """The next passage of a template that overlaps none taken joins the heap."""
@@ -187,7 +187,7 @@ class Scanner:
 
         heap: list[tuple] = []
         for k in likely:
-            free(int(k), iter(sorted(self._passages(int(k), at[self.holds[place, k]], before))))
+            free(int(k), iter(sorted(passages[k])))
         out: list[Match] = []
         while heap:
             _, _, a, k, z, dice, rest = heapq.heappop(heap)
@@ -197,29 +197,42 @@ class Scanner:
             free(k, rest)
         return sorted(out, key=lambda m: m.first)
 
-    def _passages(self, k: int, mine: np.ndarray, before: np.ndarray) -> Iterator[tuple[float, int, int, int]]:
-        """(-coefficient, -agreement, first bigram, last bigram) of the best passage from each bigram in mine, those of
-        template k. A passage's distinct bigrams are those that don't occur between its start and themselves."""
-        n, least, most = len(self.grams[k]), self.least[k] - 1e-9, self.most[k] + 1e-9
-        for i, a in enumerate(mine[: max(0, len(mine) - int(np.ceil(least)) + 1)].tolist()):
-            sizes = np.cumsum(before[a : a + int(most * 4)] < a)
-            z = mine[i : i + np.searchsorted(mine[i:], a + np.searchsorted(sizes, most, "right"))]
-            size, shared = sizes[z - a], np.cumsum(before[z] < a)
-            dice = 2 * shared / (size + n)
-            good = np.flatnonzero((size >= least) & (dice >= self.threshold - 1e-9))
-            if len(good):
-                j = good[np.flatnonzero(dice[good] == dice[good].max())[-1]]
-                yield -float(dice[j]), int(size[j] + n - 3 * shared[j]), a, int(z[j])
-
-
-def _before(found: list[bytes]) -> np.ndarray:
-    """For each bigram its place of the last time before, or -1."""
-    last: dict[tuple[bytes, bytes], int] = {}
-    out = np.empty(max(0, len(found) - 1), np.int64)
-    for i, pair in enumerate(zip(found, found[1:])):
-        out[i] = last.get(pair, -1)
-        last[pair] = i
-    return out
+    def _passages(self, likely: list[int], at: np.ndarray, place: np.ndarray, found: list[bytes]) -> dict[int, list[tuple[float, int, int, int]]]:
+        """(-coefficient, -agreement, first bigram, last bigram) of the best passage from each bigram of each likely
+        template. at and place: template bigrams in the document. Goes through the bigrams backwards and keeps the first
+        places of all distinct ones from there on; only at these does a passage's size grow, whatever its number of words."""
+        end = int(at[-1]) + 1
+        firsts, f = np.empty(end, np.int64), end
+        mine = {k: at[self.holds[place, k]] for k in likely}
+        member = {k: np.isin(np.arange(end), mine[k]) for k in likely}
+        starts: dict[int, list[int]] = {}
+        for k in likely:
+            for a in mine[k][: max(0, len(mine[k]) - int(np.ceil(self.least[k] - 1e-9)) + 1)].tolist():
+                starts.setdefault(a, []).append(k)
+        out: dict[int, list[tuple[float, int, int, int]]] = {k: [] for k in likely}
+        after: dict[tuple[bytes, bytes], int] = {}
+        for a in range(end - 1, min(starts, default=end) - 1, -1):
+            pair = found[a], found[a + 1]
+            again = after.get(pair)
+            after[pair] = a
+            if again is None:
+                f -= 1
+            else:
+                j = f + int(np.searchsorted(firsts[f:], again))
+                firsts[f + 1 : j + 1] = firsts[f:j]
+            firsts[f] = a
+            for k in starts.get(a, []):
+                n, most = len(self.grams[k]), int(self.most[k] + 1e-9)
+                shared = np.cumsum(member[k][firsts[f : f + most]])
+                size = np.arange(1, len(shared) + 1)
+                dice = 2 * shared / (size + n)
+                good = np.flatnonzero((size >= self.least[k] - 1e-9) & (dice >= self.threshold - 1e-9))
+                if len(good):
+                    j = good[np.flatnonzero(dice[good] == dice[good].max())[-1]]
+                    grows = firsts[f + j + 1] if f + j + 1 < end else end
+                    z = mine[k][np.searchsorted(mine[k], grows) - 1]
+                    out[k].append((-float(dice[j]), int(size[j] + n - 3 * shared[j]), a, int(z)))
+        return out
 
 
 @lru_cache(4)

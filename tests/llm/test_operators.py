@@ -254,6 +254,25 @@ def test_licence_versions_and_families():
     assert [m.license for m in scan(b"Licensed under the Apache License, Version 1.1")] == ["Apache-1.1"]
 
 
+def test_licence_padded_by_repeated_words():
+    rng, scan = random.Random(17), licenses.scanner().scan
+    grams = {n: {(x, y) for x, y in zip(w, w[1:])} for n, w in ((s, decontaminate.words(s.encode())) for _, s in licenses.TEMPLATES if len(s) < 120)}
+    for text in ["Licensed under the the the the the the the the the the the the the the the the the the the the the the the the the the the the the the the the the the the the Apache License, Version 2.0."] + [
+        " ".join(w for v in s.split() for w in [v] * (rng.choice([1, 40]) if v == s.split()[3] else 1)) for s in grams
+    ]:
+        found = decontaminate.words(f"foo {text} bar".encode())
+        want = 0.0
+        for a in range(len(found) - 1):
+            for z in range(a + 1, len(found)):  # without a bound on the words of a passage
+                mine = set(zip(found[a:z], found[a + 1 : z + 1], strict=True))
+                want = max(want, *(2 * len(mine & g) / (len(mine) + len(g)) for g in grams.values()))
+        got = scan(f"foo {text} bar".encode())
+        assert max((m.dice for m in got), default=0.0) == pytest.approx(want if want >= 0.8 else 0.0)
+    name, text = next((n, t) for n, t in licenses.TEMPLATES if n == "GPL-3.0" and "redistribute" in t)
+    half = text.index("This program is distributed")
+    assert [m.license for m in scan(f"{text[:half]} {'all rights ' * 400} {text[half:]}".encode())] == [name]
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
