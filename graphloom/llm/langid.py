@@ -11,14 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import as_bytes, batch, fold, map_batches, table
 
 BUCKETS, DIM, EPOCHS, RATE, STEP = 8192, 16, 12, 8.0, 32
-#: At most so many documents are learned from, dealt evenly to the languages, and so many languages are told apart.
-SAMPLE, LANGUAGES = 3000, 200
+#: About so many documents are learned from, dealt evenly to the languages, but not fewer than FEW of each language.
+SAMPLE, FEW = 3000, 15
 #: Share of the right answers of the calibration rows that the rejection threshold may cost.
 REJECT = 0.005
 
@@ -73,9 +73,12 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), 1.0, 0.0)
-    y, rng = np.array([langs.index(r[0]) for r in rows]), np.random.default_rng(7)
-    embed, out = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, len(langs)))
+    place = {lang: k for k, lang in enumerate(langs)}
+    y, rng = np.array([place[r[0]] for r in rows]), np.random.default_rng(7)
+    dim = max(DIM, len(langs) // 3)  # with too few, rare ones of many languages aren't told apart
+    embed, out = rng.normal(0, 0.1, (BUCKETS, dim)), rng.normal(0, 0.3, (dim, len(langs)))
     apart = np.arange(len(rows)) % 5 == 4
+    apart &= np.bincount(y[~apart], minlength=len(langs))[y] > 0  # no language is only calibrated with
     use = np.flatnonzero(~apart)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
@@ -108,12 +111,13 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """From text and lang of docs, both not null. Each language's share of its rows is chosen by a hash of id and text
-    so that about the same number comes from each; only hashed subword counts of the sample reach the driver."""
+    so that about the same number comes from each, all languages included; only hashed subword counts of the sample reach the
+    driver."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang")).dropna(subset=["text", "lang"])
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return fit([])
-    quota = sample / len(sizes)
+    quota = max(sample / len(sizes), FEW)
     shares = docs.sparkSession.createDataFrame([(r.lang, float(min(1.0, 1.2 * quota / r["count"]))) for r in sizes], "lang string, share double")
     place = F.pmod(F.xxhash64("id", "lang", F.xxhash64("text")), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.join(F.broadcast(shares), "lang").filter(place < F.col("share")).select("id", "lang", "text")
@@ -123,7 +127,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         share = [(n / max(1, n.sum())).astype(np.float32) for _, n in got]
         return batch(id=b.column(0), lang=b.column(1), at=pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), share=pa.array(share, pa.list_(pa.float32())))
 
-    got = map_batches(chosen, run, "id long, lang string, at array<int>, share array<float>").filter(F.size("at") > 0).orderBy(F.xxhash64("id", "at"), "lang").limit(2 * sample).collect()
+    got = map_batches(chosen, run, "id long, lang string, at array<int>, share array<float>").filter(F.size("at") > 0)
+    within = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", "at")))
+    got = got.withColumn("nth", within).filter(F.col("nth") <= int(2 * quota)).orderBy(F.xxhash64("id", "at"), "lang").collect()
     return fit([(r.lang, np.array(r["at"], np.int64), np.array(r.share)) for r in got])
 
 

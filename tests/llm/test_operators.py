@@ -185,6 +185,21 @@ def test_langid(spark):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_langid_many_languages(spark):
+    """Languages beyond the 200 most frequent ones are learned too, and one with a single row."""
+    rng, rows = random.Random(16), []
+    syllables = [["".join(rng.choice(string.ascii_lowercase) for _ in range(4)) for _ in range(4)] for _ in range(212)]
+    for k, own in enumerate(syllables):
+        for _ in range(1 if k == 211 else 12 if k < 201 else 8):
+            rows.append((len(rows), " ".join(rng.choice(own) + rng.choice(own) for _ in range(12)), f"l{k:03}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 212
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    rare = [i for i, _, lang in rows if lang >= "l201"]
+    assert sum(got[i] == rows[i][2] for i in rare) >= 0.9 * len(rare)
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 
