@@ -38,7 +38,7 @@ class Block:
     windows: np.ndarray  # rows of WORDS word ids, padded by 0
     lengths: np.ndarray
     items: list[np.ndarray]  # of each window, places in item_ids
-    item_ids: list[int]
+    item_ids: list[int | None]  # ascending, None last
     shingles: np.ndarray  # sorted codes
     singles: bool
     starts: np.ndarray | None = None  # for each shingle, its slice of entries
@@ -98,11 +98,15 @@ class Block:
         return w, first
 
 
-def build(items: list[tuple[int, bytes]]) -> Block:
+def _in_order(ids: set[int | None]) -> list[int | None]:
+    return sorted(ids, key=lambda i: (i is None, i or 0))
+
+
+def build(items: list[tuple[int | None, bytes]]) -> Block:
     vocabulary: dict[bytes, int] = {}
     seen: dict[tuple[int, ...], int] = {}
     of: list[set[int]] = []
-    item_ids = sorted({i for i, _ in items})
+    item_ids = _in_order({i for i, _ in items})
     place = {i: k for k, i in enumerate(item_ids)}
     for item, text in items:
         ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
@@ -121,11 +125,11 @@ def build(items: list[tuple[int, bytes]]) -> Block:
     return block
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS, nameless: bool = False) -> Iterator[Block]:
     """The items, streamed to the driver and cut after `most` words. Items of one id count as one item with several
-    texts; items without id or text are left out."""
+    texts, and nameless ones (null id) as one, if they are to take part; items without text are left out."""
     held, n, some = [], 0, False
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).dropna().toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).dropna(subset=["text"] if nameless else ["item_id", "text"]).toLocalIterator():
         text = bytes(r["text"])
         held.append((r.item_id, text))
         n += len(words(text))
@@ -155,15 +159,15 @@ def ranked(docs: DataFrame, block: Block) -> Block:
     return block
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs (doc_id, text) with n_words, hit (word positions, ascending) and items (ids, ascending): the words inside
-    any occurrence of a window, and the items whose windows occur. Null texts have no words; repeated rows stay."""
+def hits(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, nameless: bool = False) -> DataFrame:
+    """docs (doc_id, text) with n_words, hit (word positions, ascending) and items (ids, ascending, null last): the words
+    inside any occurrence of a window, and the items whose windows occur. Null texts have no words; repeated rows stay."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumns(
         {"n_words": F.lit(0).cast("long"), "hit": F.array().cast("array<int>"), "items": F.array().cast("array<long>")}
     )
     schema = "doc_id long, text binary, n_words long, hit array<int>, items array<long>"
     done = 0
-    for block in blocks(benchmark, block_words):
+    for block in blocks(benchmark, block_words, nameless):
         out = written(out, "hits") if done else out  # one block's index at a time in a task
         done += 1
         ready = docs.sparkSession.sparkContext.broadcast(ranked(docs, block))
@@ -179,7 +183,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
                     np.add.at(marks, first, 1)
                     np.add.at(marks, first + k.lengths[w], -1)
                     old = sorted({*old, *np.flatnonzero(np.cumsum(marks)).tolist()})
-                    old_items = sorted({*old_items, *(k.item_ids[i] for i in np.unique(np.concatenate([k.items[x] for x in np.unique(w)])))})
+                    old_items = _in_order({*old_items, *(k.item_ids[i] for i in np.unique(np.concatenate([k.items[x] for x in np.unique(w)])))})
                 hit.append(old)
                 items.append(old_items)
             return batch(doc_id=b.column(0), text=b.column(1), n_words=pa.array(n, pa.int64()), hit=pa.array(hit, pa.list_(pa.int32())), items=pa.array(items, pa.list_(pa.int64())))
@@ -188,12 +192,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, nameless: bool = False) -> DataFrame:
     """The rows of docs in which no window of a one-block benchmark occurs, with all their columns; a larger benchmark
     filters them block by block."""
     at = docs.columns.index("text")
     out, done = docs, 0
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, nameless=nameless):
         out = written(out, "clean") if done else out
         done += 1
         ready = docs.sparkSession.sparkContext.broadcast(ranked(docs, block))
@@ -207,12 +211,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """hits() reduced to counts and a digest of the item ids, sorted as strings."""
+    """hits() reduced to counts and a digest of the item ids, sorted as strings; items without id count as one."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n = [len(x) for x in b.column(2).to_pylist()]
         items = b.column(3).to_pylist()
-        sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
+        sha = [hashlib.sha256(",".join(sorted(str(i) for i in x if i is not None)).encode()).hexdigest() for x in items]
         return batch(
             doc_id=b.column(0), n_words=b.column(1), n_hit=pa.array(n, pa.int64()), n_items=pa.array(list(map(len, items)), pa.int64()), items_sha256=pa.array(sha, pa.string()), contaminated=pa.array([x > 0 for x in n], pa.bool_())
         )
@@ -221,4 +225,4 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return report(hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True))

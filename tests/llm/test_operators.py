@@ -385,6 +385,31 @@ def test_decontaminate(spark, texts, block):
     assert none.filter(F.size("hit") > 0).count() == 0
 
 
+def test_decontaminate_items_without_id(spark, tmp_path):
+    """The query equals its SQL, and the pipeline's stage drops what such items leak to."""
+    import duckdb
+
+    import corpus_pipeline
+    from graphloom.llm.registry import ORACLES
+
+    rng = random.Random(19)
+    a, b, c = (prose(rng, 14) for _ in range(3))
+    items = [(None, a), (None, b), (7, b), (8, c), (None, None), (None, "")]
+    docs = list(enumerate([f"x {a} y", f"x {b}", c, f"{a} {b} {c}", "nothing of it", None]))
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = decontaminate.op7_decontaminate(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLES["op7_decontaminate"])
+    at = [d[0] for d in want.description]
+    assert sorted(map(tuple, got.select(*at).collect())) == sorted(want.fetchall())
+    assert {r.doc_id: r.n_items for r in got.collect()} == {0: 1, 1: 2, 2: 1, 3: 3, 4: 0, 5: 0}
+    stage = corpus_pipeline.decontaminate_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert {r.doc_id for r in stage.collect()} == {4, 5}
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
