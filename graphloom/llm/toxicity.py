@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import as_bytes, batch, fold, map_batches, sample_by_hash, table
 from graphloom.llm.decontaminate import words
 
-#: Bounds of what is learned from: labelled documents (smallest hash of the id), and entries considered for the lexicon.
-SAMPLE, CANDIDATES, LEXICON = 8000, 2000, 150
+#: Bound of what is learned from: labelled documents (smallest hash of the id).
+SAMPLE = 8000
 #: An entry is considered with at least so many toxic documents and so large a share of toxic ones among its documents; it
 #: joins the lexicon if it is in at least NEW toxic documents that the entries before it are not in.
 SUPPORT, PRECISION, NEW = 4, 0.8, 3
@@ -125,14 +125,16 @@ def fit(found: list[bytes], rows: list[tuple[dict[int, int], int, list[int]]], l
     for r, (hit, _, _) in enumerate(rows):
         for k in hit:
             of[k].append(r)
+    known = set(chosen)
     for k in range(len(found)):
         new = [r for r in of[k] if labels[r] and not covered[r]]
-        if len(new) >= NEW and len(chosen) < LEXICON:
-            chosen += [] if k in chosen else [k]
+        if len(new) >= NEW:
+            chosen += [] if k in known else [k]
             covered[new] = True
     most = max((len(of[k]) for k in chosen), default=0)  # words as frequent as the best ones, though others cover their documents
+    known = set(chosen)
     for k in range(len(found)):
-        if k not in chosen and not found[k].endswith(b"*") and len(of[k]) >= max(SUPPORT, most / 3) and len(chosen) < LEXICON:
+        if k not in known and not found[k].endswith(b"*") and len(of[k]) >= max(SUPPORT, most / 3):
             chosen.append(k)
     lexicon = [found[k] for k in chosen] + [w.encode() for w in INSULTS if w.encode() not in found]
     model, place = Model(lexicon, np.zeros(0), 0.0), {k: i for i, k in enumerate(chosen)}
@@ -158,7 +160,7 @@ def logistic(x: np.ndarray, p: np.ndarray, l2: float = 0.05, steps: int = 60) ->
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """From labels (doc_id, label): of equal ids the highest label and the smallest row of hits count; null ids and labels
-    are not learned from. The driver gets the best entries and the sample's hits of them, never texts."""
+    are not learned from. The driver gets the entries that meet SUPPORT and PRECISION and the sample's hits of them, never texts."""
     chosen = sample_by_hash(
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y")), "id", sample
     )
@@ -173,14 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
 
     a, b = F.col("a"), F.col("b")
     counts = map_batches(rows, counted, "e binary, a long, b long").groupBy("e").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = counts.filter((a >= SUPPORT) & (a >= PRECISION * (a + b))).orderBy(b * 4 - a, F.col("e").like("%*"), "e").limit(CANDIDATES).collect()
+    best = counts.filter((a >= SUPPORT) & (a >= PRECISION * (a + b))).orderBy(b * 4 - a, F.col("e").like("%*"), "e").collect()
     known = [w.encode() for w in INSULTS]
     found = [bytes(r.e) for r in best]
     found += [w for w in known if w not in found]
-    place = {e: k for k, e in enumerate(found)}
+    place = docs.sparkSession.sparkContext.broadcast({e: k for k, e in enumerate(found)})
 
     def seen(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = [(*hits(t, place), matched(t)) for t in as_bytes(b.column(1))]
+        got = [(*hits(t, place.value), matched(t)) for t in as_bytes(b.column(1))]
         x = pa.array([[list(h), list(h.values()), [n], p] for h, n, p in got], pa.list_(pa.list_(pa.int64())))
         return batch(id=b.column(0), y=b.column(2), x=x)
 

@@ -446,6 +446,20 @@ def test_bpe_digest(spark, vocabulary, texts):
     assert got == {i: (len(ids := other.encode_ordinary(t or "")), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())) for i, t in enumerate(texts)}
 
 
+def test_toxicity_wide_vocabulary(spark):
+    """More insults than the 150 and 2,000 entries that a lexicon was once cut to; each document has only one of them."""
+    rng = random.Random(23)
+    insults = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(420)]
+    rows = [(f"{prose(rng, 9)} {w} {prose(rng, 9)}", 1) for w in insults for _ in range(5)] + [(prose(rng, 19), 0) for _ in range(2100)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert len(model.lexicon) > 150
+    fresh = [f"{prose(rng, 9)} {w} {prose(rng, 9)}" for w in insults]
+    got = {r.doc_id: r.predicted for r in toxicity.score(corpus(spark, fresh + [prose(rng, 19) for _ in range(100)]), model).collect()}
+    assert sum(got[i] for i in range(420)) >= 400 and not any(got[i] for i in range(420, 520))
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 
 
