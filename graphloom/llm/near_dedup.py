@@ -26,6 +26,9 @@ from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_h
 #: Bands of ROWS registers. At similarity 0.8 all bands differ with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7.
 BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
+#: Below 0.8 bands get fewer rows so that no more pairs are missed than MISS; there, sets of up to SMALL shingles, and all
+#: that can link to one, also meet by a prefix of their shingles, as their registers hold few different ones.
+MISS, SMALL = 1.3e-7, 16
 #: Members of a block, and standard errors below the threshold at which the estimate alone rules out a link.
 BLOCK, ERRORS = 1024, 6.0
 #: Chance that registers of disjoint sets agree is about this times 2 ** -MANTISSA (HyperMinHash, Yu and Weber).
@@ -102,10 +105,36 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | (after >> np.uint64(64 - MANTISSA)).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    h = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for j in range(ROWS):
-        h = h * _STEP + regs.reshape(BANDS, ROWS)[:, j].astype(np.uint64)
+def band_rows(at_least: tuple[int, int]) -> int:
+    """Registers of a band: as many, up to ROWS, as let pairs of that similarity share a band but for MISS."""
+    num, den = at_least
+    t = num / den
+    for rows in range(ROWS, 0, -1):
+        if 0 < t <= 1 and (1 - t**rows) ** (REGISTERS // rows) <= MISS:
+            return rows
+    raise ValueError(f"{REGISTERS} registers can't find pairs of similarity {num}/{den}")
+
+
+def prefix_keys(shingles: np.ndarray, at_least: tuple[int, int]) -> np.ndarray:
+    """The first shingles of a set, of which two sets that link have one in common."""
+    num, den = at_least
+    return mix64(shingles[: len(shingles) - -(-len(shingles) * num // den) + 1] + _BASE).view(np.int64)
+
+
+def meeting_keys(shingles: np.ndarray, at_least: tuple[int, int]) -> np.ndarray:
+    """Keys by which a set meets others; none if it can link to equal ones only."""
+    num, den, n = *at_least, len(shingles)
+    if not n or n * (den - num) < num:
+        return np.zeros(0, np.int64)
+    keys = band_keys(registers(shingles), band_rows(at_least))
+    return np.unique(np.concatenate([keys, prefix_keys(shingles, at_least)])) if 5 * num < 4 * den and n * num <= SMALL * den else keys
+
+
+def band_keys(regs: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    bands = REGISTERS // rows
+    h = np.arange(bands, dtype=np.uint64) + np.uint64(1)
+    for j in range(rows):
+        h = h * _STEP + regs[: bands * rows].reshape(bands, rows)[:, j].astype(np.uint64)
         h = mix64(h)
     return h.view(np.int64)
 
@@ -117,9 +146,11 @@ def estimate(regs: np.ndarray, other: np.ndarray, n: int, m: np.ndarray) -> np.n
     return ((regs[None, :] == other).mean(1) - chance) / (1 - chance)
 
 
-def margin(n: np.ndarray) -> np.ndarray:
-    """ERRORS standard errors of the estimate at similarity 0.8, from the number of registers a set of n fills itself."""
-    return ERRORS * np.sqrt(0.16 / (REGISTERS * -np.expm1(-n / REGISTERS)))
+def margin(n: np.ndarray, least: float = 0.8) -> np.ndarray:
+    """ERRORS standard errors of the estimate at the similarity, up to 0.8, at which they are largest from `least` on, from
+    the number of registers a set of n fills itself."""
+    j = min(max(least, 0.5), 0.8)
+    return ERRORS * np.sqrt(j * (1 - j) / (REGISTERS * -np.expm1(-n / REGISTERS)))
 
 
 def links(sets: list[np.ndarray], at_least: tuple[int, int], probes: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +163,7 @@ def links(sets: list[np.ndarray], at_least: tuple[int, int], probes: int = 0) ->
     num, den = at_least
     regs = np.stack([registers(s) for s in sets])
     flat, start = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)[:-1]])
-    root, pairs, slack = np.arange(len(sets)), [], margin(n)
+    root, pairs, slack = np.arange(len(sets)), [], margin(n, num / den)
 
     def near(u: int, rivals: np.ndarray) -> np.ndarray:
         fits = den * np.minimum(n[u], n[rivals]) >= num * np.maximum(n[u], n[rivals])
@@ -155,8 +186,9 @@ def links(sets: list[np.ndarray], at_least: tuple[int, int], probes: int = 0) ->
     return root, np.array(pairs, np.int64).reshape(-1, 2)
 
 
-def sketched(docs: DataFrame, k: int, id_col: str) -> DataFrame:
-    """(id, key, n, bands) of each row: 16-byte digest of its set, the set's size, its band keys (none if empty)."""
+def sketched(docs: DataFrame, k: int, id_col: str, at_least: tuple[int, int]) -> DataFrame:
+    """(id, key, n, bands) of each row: 16-byte digest of its set, the set's size, its keys (none if it links to equals only)."""
+    band_rows(at_least)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         keys, n, bands = [], [], []
@@ -164,7 +196,7 @@ def sketched(docs: DataFrame, k: int, id_col: str) -> DataFrame:
             s = shingle_set(t, k)
             keys.append(xxhash.xxh3_128_digest(s.tobytes()))
             n.append(len(s))
-            bands.append(band_keys(registers(s)) if len(s) > 3 else np.zeros(0, np.int64))  # smaller ones link to equals only
+            bands.append(meeting_keys(s, at_least))
         return batch(id=b.column(0), key=pa.array(keys, pa.binary()), n=pa.array(n, pa.int64()), bands=pa.array(bands, pa.list_(pa.int64())))
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("binary").alias("text")), run, "id long, key binary, n long, bands array<long>")
@@ -172,7 +204,7 @@ def sketched(docs: DataFrame, k: int, id_col: str) -> DataFrame:
 
 def grouped(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(pivot, blocks, block, kind, key, s): the sets that meet, in blocks of each pivot's group. kind 0: the pivot."""
-    nodes = rows.filter("n > 3").groupBy("key").agg(F.first("bands").alias("bands"))
+    nodes = rows.filter(F.size("bands") > 0).groupBy("key").agg(F.first("bands").alias("bands"))
     banded = nodes.select("key", F.explode("bands").alias("band"))
     buckets = written(banded.groupBy("band").agg(F.count("*").alias("c"), F.min("key").alias("pivot")).filter("c > 1"), "buckets")
     met = banded.join(buckets, "band").select("pivot", "key").filter("pivot <> key")
@@ -268,7 +300,7 @@ def classes(docs: DataFrame, k: int = 5, at_least: tuple[int, int] = (80, 100),
     Null and wordless texts have no shingles and are linked with nothing, their component is their own id. Equal sets
     are linked. Rows may repeat ids; a null id is never a component's id unless all its ids are null.
     """
-    rows = written(sketched(docs, k, id_col), "sketched")
+    rows = written(sketched(docs, k, id_col, at_least), "sketched")
     edges = linked(grouped(docs, rows, k), at_least)
     labels = components(edges)
     first = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("low"))

@@ -330,6 +330,22 @@ def test_near_dedup(spark, texts, k, block, monkeypatch):
     assert got == brute_classes(rows, k)
 
 
+def test_near_dedup_low_threshold(spark):
+    """Small sets at similarities of 1/2 and 2/3, and larger ones just above 1/2, link as by brute force."""
+    rng, more = random.Random(18), []
+    for i in range(60):
+        w = [f"s{i}x{j}" for j in range(4)]
+        more += [" ".join(w[: 2 + i % 2]), " ".join(w[: 3 + i % 2])]
+    for i in range(40):
+        w = [f"l{i}x{j}" for j in range(90)]
+        more += [" ".join(w), " ".join(w[:46])]
+    more += [prose(rng, 30) for _ in range(20)]
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_dedup.classes(corpus(spark, more), k=2, at_least=(50, 100)).collect()}
+    assert got == brute_classes(list(enumerate(more)), 2, 50, 100)
+    with pytest.raises(ValueError):
+        near_dedup.classes(corpus(spark, more), k=2, at_least=(5, 100))
+
+
 def test_near_dedup_edge_tables(spark):
     assert near_dedup.classes(corpus(spark, ["x"]).limit(0), k=2).collect() == []
     twice = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "a b c"), (7, "z")], "doc_id long, text string")
