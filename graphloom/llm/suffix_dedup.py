@@ -1,19 +1,23 @@
-"""Suffix-array dedup: removal of every byte covered by a long string that also starts elsewhere.
+"""Suffix-array dedup: every string of a fixed length that also starts elsewhere, as bytes and as words.
 
-Positions of all texts can't be sorted in one place, so shards are formed by content. Every window of LENGTH bytes is
-routed by the smallest hash among its K-byte strings; equal windows have equal smallest hashes and meet in one shard.
-Windows whose smallest hash occurs once in the corpus can't repeat and stop there. The rest travels as segments, runs of
-windows with the same smallest hash, equal segments as one.
+Positions of all texts can't be sorted in one place, so shards are formed by content. Every window of a unit's `length`
+symbols is routed by the smallest hash among its strings of `k` symbols; equal windows have equal smallest hashes and meet
+in one shard. Windows whose smallest hash occurs once in the corpus can't repeat and stop there. The rest travels as
+segments, runs of windows with the same smallest hash, equal segments as one.
 
 A shard builds the suffix array of its segments by Larsson-Sadakane refinement and common prefixes by Kasai's scan. A
 hash with more segments than a shard may hold is dealt to several shards; these are merged by exchanging sorted window
 digests, cut by value, which are looked up in each other by binary search.
+
+Symbols are bytes, or words as 32-bit codes: a passage of 50 words is 200 to 450 bytes long, so that no one length in
+bytes finds all passages of so many words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -24,14 +28,16 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, partitions, release, table, written
 
-LENGTH, K = 400, 128
-#: Bytes of text hashed at once, windows of a segment at most, bytes of a suffix array, and of one hash's share in it.
-PIECE, RUN, SHARD, SHARE = 1 << 19, 512, 3 << 19, 1 << 18
+LENGTH, PASSAGE = 400, 50
+#: Symbols hashed at once, bytes of a suffix array, and of one hash's share in it.
+PIECE, SHARD, SHARE = 1 << 19, 3 << 19, 1 << 18
 
 _rng = np.random.default_rng(20240301)
 _BYTE = _rng.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0xA24BAED4963EE407)
 _AT = np.uint64((1 << 20) - 1)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_IN_WORD = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
 
 
 @cache
@@ -41,11 +47,60 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, start, end) of the text's words: runs of ASCII letters, digits and bytes from 0x80, A-Z as a-z. A code is 32
+    bits of the word's hash: that 50 words in a row agree in their codes but not in themselves won't happen."""
+    text, first, out = text.translate(_LOWER), 0, []
+    while first < len(text) or not out:
+        stop = min(len(text), first + PIECE)
+        while stop < len(text) and _IN_WORD[text[stop]]:
+            stop += 1
+        x = np.frombuffer(text, np.uint8, stop - first, first) if stop > first else np.zeros(0, np.uint8)
+        inside = np.concatenate([[False], _IN_WORD[x], [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        up, down = _powers(max(12, len(x).bit_length()))
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_BYTE[0][x] * up[: len(x)], out=total[1:])
+        code = mix64((total[end] - total[start]) * down[start]) >> np.uint64(32)
+        out.append((code.astype(np.uint32), start + first, end + first))
+        first = max(stop, first + 1)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What a text is a sequence of; `length` symbols make a repeated string, at most `run` windows a segment."""
+
+    name: str
+    length: int
+    k: int
+    run: int
+    #: Bytes of a symbol.
+    width: int
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        return np.frombuffer(text, np.uint8) if self.width == 1 else words(text)[0]
+
+    def of(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, np.uint8 if self.width == 1 else np.uint32)
+
+    @property
+    def least(self) -> int:
+        """Bytes of the shortest text with a window: as words, letters with something between them."""
+        return self.length if self.width == 1 else 2 * self.length - 1
+
+
+BYTES = Unit("bytes", LENGTH, 128, 512, 1)
+WORDS = Unit("words", PASSAGE, 16, 128, 4)
+
+
 def rolling(x: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """64-bit hashes of all k-byte strings of x."""
+    """64-bit hashes of all strings of k symbols of x."""
     up, down = _powers(max(12, len(x).bit_length()))
     total = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(_BYTE[which][x] * up[: len(x)], out=total[1:])
+    value = _BYTE[which][x] if x.dtype == np.uint8 else mix64(x.astype(np.uint64) + _BYTE[which, 0])
+    np.cumsum(value * up[: len(x)], out=total[1:])
     return mix64((total[k:] - total[: len(x) - k + 1]) * down[: len(x) - k + 1])
 
 
@@ -60,91 +115,91 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def runs(text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each piece of a text: its first window, and of its runs the first window (then one past the last), the hash
+def runs(x: np.ndarray, unit: Unit) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each piece of a sequence: its first window, and of its runs the first window (then one past the last), the hash
     that all windows of the run have as smallest, and the distinct places of smallest hashes, as hashes."""
-    x = np.frombuffer(text, np.uint8)
-    for a in range(0, max(0, len(x) - LENGTH + 1), PIECE):
-        part = x[a : a + PIECE + LENGTH - 1]
-        h = rolling(part, K)
-        low = _sliding_min((h & ~_AT) | np.arange(len(h), dtype=np.uint64), LENGTH - K + 1)
+    for a in range(0, max(0, len(x) - unit.length + 1), PIECE):
+        h = rolling(x[a : a + PIECE + unit.length - 1], unit.k)
+        low = _sliding_min((h & ~_AT) | np.arange(len(h), dtype=np.uint64), unit.length - unit.k + 1)
         value = low >> np.uint64(20)
         edge = np.concatenate([[0], np.flatnonzero(np.diff(value)) + 1])
         places = low[np.concatenate([[0], np.flatnonzero(np.diff(low)) + 1])] >> np.uint64(20)
         yield a, np.append(edge, len(low)), value[edge], places
 
 
-def anchors(text: bytes) -> np.ndarray:
-    """Hashes by which the text's windows are routed, one entry for each place."""
-    found = [places for _, _, _, places in runs(text)]
+def anchors(x: np.ndarray, unit: Unit) -> np.ndarray:
+    """Hashes by which the windows are routed, one entry for each place."""
+    found = [places for _, _, _, places in runs(x, unit)]
     return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
-def segments(text: bytes, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(hash, first window, one past the last) of the runs with a wanted hash, at most RUN windows each."""
-    for a, edge, value, _ in runs(text):
+def segments(x: np.ndarray, unit: Unit, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(hash, first window, one past the last) of the runs with a wanted hash, at most unit.run windows each."""
+    for a, edge, value, _ in runs(x, unit):
         for r in np.flatnonzero(np.isin(value, wanted.view(np.uint64))):
-            for s in range(int(edge[r]), int(edge[r + 1]), RUN):
-                yield int(value[r]), a + s, a + min(s + RUN, int(edge[r + 1]))
+            for s in range(int(edge[r]), int(edge[r + 1]), unit.run):
+                yield int(value[r]), a + s, a + min(s + unit.run, int(edge[r + 1]))
 
 
 def suffix_array(x: np.ndarray, deepest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, word): suffixes of x by their first `deepest` bytes, then by place; word: 8 bytes from each place.
+    """(order, word): suffixes of x by their first `deepest` symbols, then by place; word: 8 bytes of symbols from each place.
 
-    Groups of suffixes that agree in h bytes are refined by their ranks h further on, h doubling; only groups with
+    Groups of suffixes that agree in h symbols are refined by their ranks h further on, h doubling; only groups with
     more than one suffix are sorted again.
     """
-    n = len(x)
-    wide = np.concatenate([x, np.zeros(8, np.uint8)]).astype(np.uint64)
+    n, per = len(x), 8 // x.dtype.itemsize
+    wide = np.concatenate([x, np.zeros(per, x.dtype)]).astype(np.uint64)
     word = np.zeros(n, np.uint64)
-    for j in range(8):
-        word = (word << np.uint64(8)) | wide[j : n + j]
-    order = np.argsort(word, kind="stable")
+    for j in range(per):
+        word = (word << np.uint64(64 // per)) | wide[j : n + j]
+    order = np.argsort(word)
     first = np.concatenate([[True], word[order][1:] != word[order][:-1]])
     rank = np.zeros(n + 1, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank[n] = -1
     at = np.flatnonzero(~(first & np.append(first[1:], True)))  # slots of unsorted groups
-    h = 8
+    h = per
     while h < deepest and len(at):
         here = order[at]
         key = (rank[here].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(here + h, n)] + 1).astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         here, key = here[by], key[by]
         order[at] = here
         new = np.concatenate([[True], key[1:] != key[:-1]])
         rank[here] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         at = at[~(new & np.append(new[1:], True))]
         h *= 2
+    here = order[at]
+    order[at] = here[np.argsort((rank[here].astype(np.uint64) << np.uint64(32)) | here.astype(np.uint64))]
     return order, word
 
 
-def common_prefixes(x_word: np.ndarray, order: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kasai's scan over all segments side by side: for each place its suffix's common prefix with the suffix before it in
-    order, up to LENGTH, for places with LENGTH bytes left in their segment; and that suffix."""
-    n = len(order)
+def common_prefixes(word: np.ndarray, width: int, order: np.ndarray, start: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Kasai's scan over all segments side by side: for the `count` windows from each start their common prefix, up to
+    `most` symbols, with the window before them in order; and that window. order holds windows only: other suffixes, that
+    run into the next segment, could part equal windows."""
+    n, per = len(word), 8 // width
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    end = np.repeat(stop, np.diff(np.append(start, n)))
+    slot = np.full(n + 1, n, np.int64)
+    slot[order] = np.arange(len(order))
     lcp = np.zeros(n, np.int64)
-    lanes, at, h = np.arange(len(start)), start.copy(), np.zeros(len(start), np.int64)
+    at, h, last = start.copy(), np.zeros(len(start), np.int64), start + count
     while True:
-        live = at + LENGTH <= stop[lanes]
-        lanes, at, h = lanes[live], at[live], h[live]
-        if not len(lanes):
+        live = at < last
+        at, h, last = at[live], h[live], last[live]
+        if not len(at):
             return lcp, before
         other = before[at]
-        room = np.where(other >= 0, np.minimum(LENGTH, end[other] - other), 0)
-        h = np.minimum(h, room)
-        grow = np.flatnonzero(h < room)
+        grow = np.flatnonzero((other >= 0) & (h < most))
         while len(grow):
-            i, j = at[grow] + h[grow], other[grow] + h[grow]
-            differ = x_word[i] ^ x_word[j]
-            same = np.where(differ == 0, 8, _equal_bytes(differ))
-            h[grow] = np.minimum(h[grow] + same, room[grow])
-            grow = grow[(differ == 0) & (h[grow] < room[grow])]
+            differ = word[at[grow] + h[grow]] ^ word[other[grow] + h[grow]]
+            h[grow] = np.minimum(h[grow] + np.where(differ == 0, per, _equal_bytes(differ) // width), most)
+            grow = grow[(differ == 0) & (h[grow] < most)]
         lcp[at] = h
-        at, h = at + 1, np.maximum(h - 1, 0)
+        # one symbol on, the prefix is one shorter, if what follows the window before it is a window that is still before it
+        at = at + 1
+        h = np.where((other >= 0) & (slot[other + 1] < slot[at]), np.maximum(h - 1, 0), 0)
 
 
 def _equal_bytes(differ: np.ndarray) -> np.ndarray:
@@ -157,25 +212,24 @@ def _equal_bytes(differ: np.ndarray) -> np.ndarray:
     return n
 
 
-def repeated(texts: list[bytes], known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def repeated(parts: list[np.ndarray], known: np.ndarray, unit: Unit) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each segment, which of its windows also start elsewhere; known: segments that occur more than once, whose
     windows all do. Also the places, in the segments laid end to end, of one window of each content, and their
     segments' starts."""
-    gap = 8
-    size = np.array(list(map(len, texts))) + gap
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    x = np.frombuffer(b"".join(t + bytes(gap) for t in texts), np.uint8)
-    order, word = suffix_array(x, int(size.max()))
-    lcp, before = common_prefixes(word, order, start, start + size - gap)
-    hit = np.zeros(len(x), bool)
-    again = np.flatnonzero(lcp >= LENGTH)
+    size = np.array(list(map(len, parts)))
+    start, count = np.concatenate([[0], np.cumsum(size)[:-1]]), size - unit.length + 1
+    x = np.concatenate(parts)
+    window, hit = np.zeros(len(x) + 1, np.int8), np.zeros(len(x), bool)
+    window[start] += 1
+    window[start + count] -= 1
+    window = np.cumsum(window[:-1]).astype(bool)
+    order, word = suffix_array(x, unit.length)
+    lcp, before = common_prefixes(word, unit.width, order[window[order]], start, count, unit.length)
+    again = np.flatnonzero(lcp >= unit.length)
     hit[again] = hit[before[again]] = True
-    window = np.zeros(len(x), bool)
-    for k, (a, t) in enumerate(zip(start.tolist(), texts, strict=True)):
-        window[a : a + len(t) - LENGTH + 1] = True
-        if known[k]:
-            hit[a : a + len(t) - LENGTH + 1] = True
-    return [hit[a : a + len(t) - LENGTH + 1] for a, t in zip(start.tolist(), texts, strict=True)], np.flatnonzero(window & (lcp < LENGTH)), start
+    for a, n in zip(start[known].tolist(), count[known].tolist(), strict=True):
+        hit[a : a + n] = True
+    return [hit[a : a + n] for a, n in zip(start.tolist(), count.tolist(), strict=True)], np.flatnonzero(window & (lcp < unit.length)), start
 
 
 def _spans(hit: np.ndarray) -> list[int]:
@@ -199,12 +253,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     release()
 
 
-def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_shards(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
     """(h, d, spans) of segments with repeated windows; for hashes in several parts also digests (h, cut, part, digests):
     sorted by value, of one window of each content, with its segment and place, or -1 if it is known to repeat."""
     for rows in _shards(batches):
-        texts, known = [r[5] for r in rows], np.array([r[4] for r in rows])
-        hits, heads, start = repeated(texts, known)
+        texts, known = [unit.of(r[5]) for r in rows], np.array([r[4] for r in rows])
+        hits, heads, start = repeated(texts, known, unit)
         out = [(r[0], r[3], _spans(hit), None, None, None) for r, hit in zip(rows, hits, strict=True) if hit.any()]
         split: dict[tuple[int, int], list[int]] = {}
         for k, r in enumerate(rows):
@@ -213,8 +267,7 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for (h, part), members in split.items():
             parts, found = rows[members[0]][2], []
             for k in members:
-                x = np.frombuffer(texts[k], np.uint8)
-                one, two = rolling(x, LENGTH), rolling(x, LENGTH, 1)
+                one, two = rolling(texts[k], unit.length), rolling(texts[k], unit.length, 1)
                 mine = heads[(heads >= start[k]) & (heads < start[k] + len(one))] - start[k]
                 at = np.where(hits[k][mine], -1, (k << 20) + mine)
                 found.append(np.stack([one[mine], two[mine], at.astype(np.int64).view(np.uint64)], 1))
@@ -236,7 +289,7 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
     """(h, d, spans) of windows that repeat in another part of their hash. Each part's sorted digests are looked up in
     those merged so far by binary search."""
 
@@ -267,7 +320,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return None
         spans = []
         for v in found.values():
-            hit = np.zeros(RUN, bool)
+            hit = np.zeros(unit.run, bool)
             hit[v] = True
             spans.append(_spans(hit))
         return batch(h=pa.array([now[0]] * len(found), pa.int64()), d=pa.array(list(found), pa.binary()), spans=pa.array(spans, pa.list_(pa.int32())))
@@ -288,19 +341,21 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256)), 1, 16)
 
 
-def chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """chosen (key, ...) with the text of each key. Few other texts travel, and of equal ones one from each task."""
+def chosen_texts(docs: DataFrame, chosen: DataFrame, least: int) -> DataFrame:
+    """chosen (key, ...) with the text of each key, texts of `least` bytes at least. Few other texts travel, and of equal
+    ones one from each task."""
     ready = key_filter(chosen.select("key"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return b.filter(pa.array(may_hold(ready.value, b.column(0).to_pylist())))
 
-    keyed = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") >= LENGTH)
+    keyed = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).filter(F.octet_length("text") >= least)
     return map_batches(keyed, run, "key binary, text binary").groupBy("key").agg(F.first("text").alias("text")).join(chosen, "key")
 
 
-def found_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def found_windows(docs: DataFrame, rows: DataFrame, unit: Unit) -> DataFrame:
     """(key, spans): for each distinct text with repeated windows, flat starts and ends of runs of window starts."""
+    rows = rows.select("key", F.col(unit.name)["anchors"].alias("anchors"))
     texts = rows.groupBy("key").agg(F.first("anchors").alias("anchors"))
     often = written(texts.select(F.explode("anchors").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "often")
     ready = key_filter(often.select(F.unhex(F.md5(F.col("h").cast("string").cast("binary"))).alias("key")))
@@ -317,13 +372,14 @@ def found_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     maybe = map_batches(rows.filter(F.size("anchors") > 0).select("key", "anchors"), known, "key binary, hs array<long>").groupBy("key").agg(F.first("hs").alias("hs"))
     wanted = maybe.select("key", F.explode("hs").alias("h")).join(often, "h").groupBy("key").agg(F.collect_list("h").alias("hs"))
     wanted = written(wanted, "wanted")
-    source = written(chosen_texts(docs, wanted), "candidates")
+    source = written(chosen_texts(docs, wanted, unit.least), "candidates")
 
     def cut(b: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
         key, h, d, first, s = [], [], [], [], []
         for k, text, hs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            for value, a, z in segments(text, np.array(hs, np.int64)):
-                part = text[a : z + LENGTH - 1]
+            x = unit.symbols(text)
+            for value, a, z in segments(x, unit, np.array(hs, np.int64)):
+                part = x[a : z + unit.length - 1].tobytes()
                 key.append(k)
                 h.append(value)
                 d.append(xxhash.xxh3_128_digest(part))
@@ -335,78 +391,114 @@ def found_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     schema = "key binary, h long, d binary, first int, s binary"
     pieces = map_batches(source, lambda b: cut(b, True), schema).groupBy("h", "d").agg(F.count("*").alias("n"), F.first("s").alias("s"))
     pieces = written(pieces, "pieces")
-    sizes = written(pieces.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.octet_length("s") + 8).alias("size")).withColumn("parts", F.ceil(F.col("size") / SHARE).cast("int")), "sizes")
+    sizes = written(pieces.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.octet_length("s")).alias("size")).withColumn("parts", F.ceil(F.col("size") / SHARE).cast("int")), "sizes")
     sized = pieces.join(sizes, "h")
     # all windows of a hash's only segment repeat if it occurs again; if not, it can still repeat within itself
-    alone = sized.filter("kinds = 1 AND n > 1").select("h", "d", F.array(F.lit(0), F.octet_length("s") - (LENGTH - 1)).alias("spans"))
+    windows = (F.octet_length("s") / unit.width - (unit.length - 1)).cast("int")
+    alone = sized.filter("kinds = 1 AND n > 1").select("h", "d", F.array(F.lit(0), windows).alias("spans"))
     shards = sized.filter("kinds > 1 OR n = 1").select("h", F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"), "parts", "d", (F.col("n") > 1).alias("many"), "s")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     shards = shards.repartition(max(partitions(docs.sparkSession), total // SHARD), "h", "part").sortWithinPartitions("h", "part")
-    sorted_ = written(shards.mapInArrow(_sorted_shards, "h long, d binary, spans array<int>, cut int, part int, digests binary"), "shards")
+    sorted_ = written(shards.mapInArrow(lambda b: _sorted_shards(b, unit), "h long, d binary, spans array<int>, cut int, part int, digests binary"), "shards")
     hits = sorted_.filter("digests IS NULL").select("h", "d", "spans").unionByName(alone)
     digests = sorted_.filter("digests IS NOT NULL").select("h", "d", "cut", "digests")
     if not digests.isEmpty():
-        hits = hits.unionByName(written(digests.repartition("h", "cut").sortWithinPartitions("h", "cut").mapInArrow(_merged, "h long, d binary, spans array<int>"), "merged"))
+        together = digests.repartition("h", "cut").sortWithinPartitions("h", "cut")
+        hits = hits.unionByName(written(together.mapInArrow(lambda b: _merged(b, unit), "h long, d binary, spans array<int>"), "merged"))
     hits = written(hits, "hits")
     places = map_batches(source, lambda b: cut(b, False), schema).select("key", "h", "d", "first")
     moved = places.join(hits, ["h", "d"]).select("key", F.transform("spans", lambda v: v + F.col("first")).alias("spans"))
     return moved.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def removed(n: int, spans: list[int] | None) -> np.ndarray:
-    """Bytes covered by windows that start in the spans."""
+def covered(n: int, spans: list[int] | None, unit: Unit) -> np.ndarray:
+    """Which of n symbols are covered by windows that start in the spans."""
     edge = np.zeros(n + 1, np.int64)
     if spans:
         v = np.array(spans, np.int64).reshape(-1, 2)
         np.add.at(edge, v[:, 0], 1)
-        np.add.at(edge, np.minimum(v[:, 1] + LENGTH - 1, n), -1)
+        np.add.at(edge, np.minimum(v[:, 1] + unit.length - 1, n), -1)
     return np.cumsum(edge[:n]) > 0
 
 
-def sketched(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, key, n_bytes, sha, anchors) of each row; sha: of the whole text."""
+def gone_bytes(text: bytes, spans: list[int] | None, passages: list[int] | None) -> np.ndarray:
+    """Which bytes are covered by repeated strings of bytes, or lie within a passage, from its first word to its last."""
+    gone = covered(len(text), spans, BYTES)
+    if passages:
+        _, start, end = words(text)
+        within = _spans(covered(len(start), passages, WORDS))
+        for a, z in zip(within[::2], within[1::2], strict=True):
+            gone[start[a] : end[z - 1]] = True
+    return gone
+
+
+def sketched(docs: DataFrame, units: tuple[Unit, ...], id_col: str = "doc_id") -> DataFrame:
+    """(id, key, n_bytes, sha, and by unit n and anchors) of each row; sha: of the whole text."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = as_bytes(b.column(2))
-        sha = [hashlib.sha256(t).hexdigest() for t in texts]
-        return batch(id=b.column(0), key=b.column(1), n_bytes=pa.array(list(map(len, texts)), pa.int64()), sha=pa.array(sha, pa.string()), anchors=pa.array(list(map(anchors, texts)), pa.list_(pa.int64())))
+        sha, found = [hashlib.sha256(t).hexdigest() for t in texts], {}
+        for u in units:
+            n, at = [], []
+            for t in texts:
+                x = u.symbols(t)
+                n.append(len(x))
+                at.append(anchors(x, u))
+            found[u.name] = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int64()))], ["n", "anchors"])
+        return batch(id=b.column(0), key=b.column(1), n_bytes=pa.array(list(map(len, texts)), pa.int64()), sha=pa.array(sha, pa.string()), **found)
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")), run, "id long, key binary, n_bytes long, sha string, anchors array<long>")
+    schema = "id long, key binary, n_bytes long, sha string" + "".join(f", {u.name} struct<n: long, anchors: array<long>>" for u in units)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")), run, schema)
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): sketched() rows, written, and (key, copies, spans) of the distinct texts with repeated windows.
+def repeats(docs: DataFrame, units: tuple[Unit, ...] = (BYTES, WORDS)) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): sketched() rows, written, and of the distinct texts with repeated windows (key, and for each unit, by
+    its name, flat starts and ends of runs of window starts or null).
 
-    Null texts are empty; texts under LENGTH bytes have no windows. Texts that occur as several rows repeat as a whole:
+    Null texts are empty; texts under a unit's length have no windows. Texts that occur as several rows repeat as a whole:
     their spans are all their windows.
     """
-    rows = written(sketched(docs), "sketched")
-    copies = rows.filter(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n")).filter("copies > 1")
-    whole = copies.select("key", F.array(F.lit(0), (F.col("n") - (LENGTH - 1)).cast("int")).alias("spans"))
-    spans = found_windows(docs, rows).unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return rows, written(spans, "spans")
+    rows = written(sketched(docs, units), "sketched")
+    found = None
+    for u in units:
+        copies = rows.filter(F.col(u.name)["n"] >= u.length).groupBy("key").agg(F.count("*").alias("copies"), F.first(F.col(u.name)["n"]).alias("n")).filter("copies > 1")
+        whole = copies.select("key", F.array(F.lit(0), (F.col("n") - (u.length - 1)).cast("int")).alias("spans"))
+        own = found_windows(docs, rows, u).unionByName(whole).select("key", *(F.col("spans").alias(u.name) if v is u else F.lit(None).cast("array<int>").alias(v.name) for v in units))
+        found = own if found is None else found.unionByName(own)
+    # an empty list stands for null: a text has windows of its own there
+    lists = [F.flatten(F.collect_list(u.name)).alias(u.name) for u in units]
+    return rows, written(found.groupBy("key").agg(*lists), "spans")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words) for each row of docs.
+
+    The first five follow from repeated strings of LENGTH bytes. n_passages counts the maximal runs of words covered by
+    PASSAGE words that also start elsewhere, whatever stands between the words and whether A-Z or a-z; n_passage_words
+    their words. Null texts are empty; a null id and repeated rows stay rows.
+    """
     rows, spans = repeats(docs)
-    source = chosen_texts(docs, spans)
+    source = chosen_texts(docs, spans, min(BYTES.least, WORDS.least))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, m, sha = [], [], []
-        for text, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            gone = removed(len(text), s)
+        n, m, sha, runs_, inside = [], [], [], [], []
+        for text, s, p in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            gone = covered(len(text), s, BYTES)
             n.append(int(gone.sum()))
             m.append(len(_spans(gone)) // 2)
             sha.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest())
-        return batch(key=b.column(0), n_removed=pa.array(n, pa.int64()), n_spans=pa.array(m, pa.int64()), kept=pa.array(sha, pa.string()))
-
-    changed = written(map_batches(source, run, "key binary, n_removed long, n_spans long, kept string"), "changed")
-    zero = F.lit(0).cast("long")
+            held = covered(len(WORDS.symbols(text)) if p else 0, p, WORDS)
+            runs_.append(len(_spans(held)) // 2)
+            inside.append(int(held.sum()))
+        whole = {k: pa.array(v, pa.int64()) for k, v in (("n_removed", n), ("n_spans", m), ("n_passages", runs_), ("n_passage_words", inside))}
+        return batch(key=b.column(0), kept=pa.array(sha, pa.string()), **whole)
+
+    changed = written(map_batches(source.select("key", "text", "bytes", "words"), run, "key binary, kept string, n_removed long, n_spans long, n_passages long, n_passage_words long"), "changed")
+    number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return (
         rows.select(F.col("id").alias("doc_id"), "key", "n_bytes", "sha")
         .join(changed, "key", "left")
-        .select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+        .select("doc_id", "n_bytes", number("n_removed"), number("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), number("n_passages"), number("n_passage_words"))
     )
 
 

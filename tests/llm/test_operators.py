@@ -40,17 +40,27 @@ def texts():
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 
 
-def brute_removals(texts, length=400):
-    raw = [(t or "").encode() for t in texts]
-    seen = collections.Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+def brute_covered(seqs, length):
+    """For each sequence, which of its items lie in a string of that length that also starts elsewhere."""
+    seen = collections.Counter(t[i : i + length] for t in seqs for i in range(len(t) - length + 1))
     out = []
-    for t in raw:
+    for t in seqs:
         gone = bytearray(len(t))
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        out.append(bytes(gone))
+    return out
+
+
+def brute_removals(texts, length=400, passage=50):
+    raw = [(t or "").encode() for t in texts]
+    lower = {c: c + 32 for c in range(65, 91)}
+    words = [tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))) for t in texts]
+    out = []
+    for t, gone, held in zip(raw, brute_covered(raw, length), brute_covered(words, passage), strict=True):
         kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
-        out.append((len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest(), len(re.findall(b"\1+", held)), sum(held)))
     return out
 
 
@@ -72,14 +82,72 @@ def test_suffix_array_and_prefixes():
     text = bytes(rng.choice(b"ab") for _ in range(2000)) + b"ab" * 300
     order, _ = suffix_dedup.suffix_array(np.frombuffer(text, np.uint8), len(text) * 2)
     assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    codes = np.array([rng.randrange(3) for _ in range(1500)], np.uint32)
+    order, _ = suffix_dedup.suffix_array(codes, 3000)
+    assert order.tolist() == sorted(range(1500), key=lambda i: codes[i:].tolist())
+
+
+def test_repeated_windows_of_one_shard():
+    """Segments of few letters, with ties, overlaps, zero bytes and copies, against brute force."""
+    rng, unit = random.Random(20), suffix_dedup.Unit("bytes", 12, 4, 64, 1)
+    for alphabet in (b"a", b"ab", b"\0a", b"abcd", b"\0"):
+        parts = [bytes(rng.choice(alphabet) for _ in range(rng.randint(12, 60))) for _ in range(12)]
+        parts += [parts[0][3:] + b"zz" + parts[1], parts[2]]
+        known = np.array([False] * len(parts))
+        hits, _, _ = suffix_dedup.repeated([np.frombuffer(p, np.uint8) for p in parts], known, unit)
+        seen = collections.Counter(p[i : i + 12] for p in parts for i in range(len(p) - 11))
+        assert [h.tolist() for h in hits] == [[seen[p[i : i + 12]] > 1 for i in range(len(p) - 11)] for p in parts]
+
+
+def test_repeats_around_zero_bytes(spark):
+    """A window `tail, zeros, head` in two texts, while others end in the tail and start with the head."""
+    rng = random.Random(21)
+    tail, head = prose(rng, 60)[:250], prose(rng, 60)[:250]
+    window = tail + "\0" * 8 + head
+    rows = [prose(rng, 50) + window + prose(rng, 50), prose(rng, 70) + window, prose(rng, 90) + tail, head + prose(rng, 90), "\0" * 900, "\0" * 401, "\0" * 399]
+    got = suffix_dedup.removals(corpus(spark, rows)).collect()
+    want = brute_removals(rows)
+    assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(want))
+    assert want[0][1] == len(window.encode()) and want[2][1] == 0
+
+
+def test_passages_of_50_words(spark):
+    """Planted in other texts, with other white space, marks and capitals; most are shorter than 400 bytes."""
+    rng, rows, planted = random.Random(22), [], {}
+    for n in (48, 49, 50, 51, 55, 60):
+        passage = prose(rng, n).split()
+        for form in (" ".join, "\n".join, ", ".join, lambda w: " ".join(w).upper().replace("Ü", "ü").replace("Ï", "ï")):
+            planted[len(rows)] = n
+            rows.append(f"{prose(rng, 30)} {form(passage)}. {prose(rng, 40)}")
+    rows += [prose(rng, 90) for _ in range(20)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removals(corpus(spark, rows)).collect()}
+    assert got == dict(enumerate(brute_removals(rows)))
+    assert all((got[i][5] == n) == (n >= 50) and (got[i][4] == 1) == (n >= 50) for i, n in planted.items())
+    assert not any(got[i][5] for i in range(len(planted), len(rows)))
+
+
+def test_words_and_their_places():
+    texts = [b"", b" ", b"One two--THREE 4x", "Ünï 中文。x".encode(), b"a" * 9, b"\0a\0"]
+    for t in [*texts, prose(random.Random(23), 3000).encode()]:
+        code, start, end = suffix_dedup.words(t)
+        found = re.findall(rb"[0-9A-Za-z\x80-\xff]+", t)
+        assert [t[a:z] for a, z in zip(start, end, strict=True)] == found
+        assert len(set(code.tolist())) == len({w.lower() for w in found})
+
+
+def test_words_of_long_texts(monkeypatch):
+    t = prose(random.Random(24), 4000).encode()
+    want = suffix_dedup.words(t)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    assert all((a == b).all() for a, b in zip(want, suffix_dedup.words(t), strict=True))
 
 
 def test_anchor_of_equal_windows_is_equal():
-    rng = random.Random(2)
+    rng, unit = random.Random(2), suffix_dedup.BYTES
     shared = prose(rng, 80).encode()[:450]
-    a, b = b"x" * 37 + shared + b"y" * 50, shared + b"z" * 900
-    assert set(suffix_dedup.anchors(a).tolist()) & set(suffix_dedup.anchors(b).tolist())
-    assert len(suffix_dedup.anchors(b"short")) == 0
+    a, b = (np.frombuffer(x, np.uint8) for x in (b"x" * 37 + shared + b"y" * 50, shared + b"z" * 900))
+    assert set(suffix_dedup.anchors(a, unit).tolist()) & set(suffix_dedup.anchors(b, unit).tolist())
+    assert len(suffix_dedup.anchors(unit.symbols(b"short"), unit)) == 0
 
 
 # --- 2, 9 ------------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ import corpus_pipeline
 from graphloom.llm import registry, suffix_dedup
 from graphloom.llm.common import table
 
-from .test_operators import brute_classes, brute_hits, brute_removals, corpus, prose, texts  # noqa: F401
+from .test_operators import brute_classes, brute_covered, brute_hits, brute_removals, corpus, prose, texts  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,17 +32,47 @@ def test_near_dedup_stage(spark, docs, texts):  # noqa: F811
     assert sorted(r.doc_id for r in again.collect()) == sorted([*got, *(i for i, (n, _) in classes.items() if not n)])
 
 
+def brute_dedup(texts):
+    """Texts without the characters that a repeated string of 400 bytes touches or a repeated passage of 50 words holds."""
+    raw = [(t or "").encode() for t in texts]
+    spans = [[m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", t)] for t in raw]
+    words = [tuple(t[a:z].translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))) for a, z in s) for t, s in zip(raw, spans, strict=True)]
+    out = []
+    for t, s, gone, held in zip(raw, spans, brute_covered(raw, 400), brute_covered(words, 50), strict=True):
+        gone = bytearray(gone)
+        for m in re.finditer(b"\1+", held):
+            a, z = s[m.start()][0], s[m.end() - 1][1]
+            gone[a:z] = b"\1" * (z - a)
+        at, kept = 0, []
+        for c in t.decode():
+            n = len(c.encode())
+            kept.append("" if any(gone[at : at + n]) else c)
+            at += n
+        out.append("".join(kept))
+    return out
+
+
 def test_suffix_dedup_stage(spark, docs, texts):  # noqa: F811
     got = {r.doc_id: r for r in corpus_pipeline.suffix_dedup_stage(spark, docs, SF).collect()}
-    want = brute_removals(texts)
-    for i, t in enumerate(texts):
-        if t is None or not want[i][1]:
-            assert got[i].text == t
-        elif t.isascii():
-            assert len(got[i].text) == want[i][0] - want[i][1]
-        else:
-            assert len(got[i].text.encode()) <= want[i][0] - want[i][1]
-        assert got[i].text is None or got[i].n_chars == len(got[i].text)
+    want = brute_dedup(texts)
+    assert {i: r.text for i, r in got.items()} == {i: None if t is None else want[i] for i, t in enumerate(texts)}
+    assert all(got[i].n_chars == len(got[i].text) for i, t in enumerate(texts) if t is not None)
+    bare = corpus_pipeline.suffix_dedup_stage(spark, docs.select("doc_id", "text"), SF)
+    assert bare.columns == ["doc_id", "text"] and {r.doc_id: r.text for r in bare.collect()} == {i: r.text for i, r in got.items()}
+
+
+def test_planted_passages_go(spark):
+    """Passages of 50 to 60 words go wherever they stand, and nothing else does."""
+    rng, rows, clean = random.Random(13), [], []
+    for n in range(50, 61):
+        passage = prose(rng, n)
+        for _ in range(3):
+            before, after = f"{prose(rng, 30)} b{len(rows)}", f"a{len(rows)} {prose(rng, 30)}"
+            rows.append(f"{before}\n{passage}\n{after}")
+            clean.append(f"{before}\n\n{after}")
+    rows += (more := [prose(rng, 80) for _ in range(10)])
+    out = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup_stage(spark, corpus(spark, rows), SF).collect()}
+    assert out == dict(enumerate(clean + more))
 
 
 def test_characters_go_as_a_whole(spark):
@@ -108,7 +139,7 @@ def test_sql(name, answers):
 def test_removals_of_the_table(spark, answers):
     rows = table(spark, SF, "documents").collect()
     want = dict(zip((r.doc_id for r in rows), brute_removals([r.text for r in rows]), strict=True))
-    assert {r.doc_id: tuple(r)[2:6] for r in answers["op1_suffix_dedup"].itertuples()} == want
+    assert {r.doc_id: tuple(r)[2:8] for r in answers["op1_suffix_dedup"].itertuples()} == want
     assert suffix_dedup.LENGTH == 400
 
 
