@@ -42,24 +42,30 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the bytes that a 400-byte string that also starts elsewhere covers, and n_chars of what is
-    left. A character of which only some bytes are covered goes as a whole. A null text stays null."""
+    """Every document, without the bytes that a 400-byte string that also starts elsewhere covers, without passages of 50
+    words or more that also stand elsewhere, and with n_chars, if docs has it, of what is left. A character of which only
+    some bytes are covered goes as a whole. A null text stays null."""
     _, spans = suffix_dedup.repeats(docs)
-    at, n_at = docs.columns.index("text"), docs.columns.index("n_chars")
+    at, n_at = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     sure, maybe = parted(docs, suffix_dedup.text_key(F.col("text")), spans)
-    marked = maybe.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left").select(*docs.columns, "__spans")
+    marked = maybe.join(spans.select(F.col("key").alias("__key"), F.struct("bytes", "words").alias("__spans")), "__key", "left").select(*docs.columns, "__spans")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        spans, texts, sizes = b.column(b.num_columns - 1).to_pylist(), b.column(at).to_pylist(), b.column(n_at).to_pylist()
+        spans, texts = b.column(b.num_columns - 1).to_pylist(), b.column(at).to_pylist()
+        sizes = None if n_at is None else b.column(n_at).to_pylist()
         for i, s in enumerate(spans):
             if s and texts[i] is not None:
-                raw = np.frombuffer(texts[i].encode(), np.uint8)
+                text = texts[i].encode()
+                raw = np.frombuffer(text, np.uint8)
                 char = np.cumsum((raw & 0xC0) != 0x80) - 1  # the character each byte belongs to
-                gone = np.bincount(char, suffix_dedup.removed(len(raw), s)) > 0
+                gone = np.bincount(char, suffix_dedup.gone_bytes(text, s["bytes"], s["words"])) > 0
                 texts[i] = raw[~gone[char]].tobytes().decode()
-                sizes[i] = len(texts[i])
+                if sizes:
+                    sizes[i] = len(texts[i])
         columns = list(b.columns[:-1])
-        columns[at], columns[n_at] = pa.array(texts, columns[at].type), pa.array(sizes, columns[n_at].type)
+        columns[at] = pa.array(texts, columns[at].type)
+        if sizes:
+            columns[n_at] = pa.array(sizes, columns[n_at].type)
         return pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
     return sure.unionByName(map_batches(marked, run, docs.schema))
