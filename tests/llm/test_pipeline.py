@@ -63,16 +63,18 @@ def test_suffix_dedup_stage(spark, docs, texts):  # noqa: F811
 
 def test_planted_passages_go(spark):
     """Passages of 50 to 60 words go wherever they stand, and nothing else does."""
-    rng, rows, clean = random.Random(13), [], []
+    rng, rows, planted = random.Random(13), [], []
     for n in range(50, 61):
         passage = prose(rng, n)
         for _ in range(3):
-            before, after = f"{prose(rng, 30)} b{len(rows)}", f"a{len(rows)} {prose(rng, 30)}"
-            rows.append(f"{before}\n{passage}\n{after}")
-            clean.append(f"{before}\n\n{after}")
-    rows += (more := [prose(rng, 80) for _ in range(10)])
+            planted.append((f"{prose(rng, 30)} b{len(rows)}", passage, f"{len(rows)}a {prose(rng, 30)}"))
+            rows.append("\n".join(planted[-1]))
+    rows += [prose(rng, 80) for _ in range(10)]
     out = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup_stage(spark, corpus(spark, rows), SF).collect()}
-    assert out == dict(enumerate(clean + more))
+    assert out == dict(enumerate(brute_dedup(rows)))
+    for i, (before, passage, after) in enumerate(planted):
+        assert passage not in out[i] and out[i].startswith(before) and out[i].endswith(after) and len(out[i]) <= len(before + after) + 2
+    assert [out[i] for i in range(len(planted), len(rows))] == rows[len(planted) :]
 
 
 def test_characters_go_as_a_whole(spark):
