@@ -66,8 +66,8 @@ def test_planted_passages_go(spark):
     rng, rows, planted = random.Random(13), [], []
     for n in range(50, 61):
         passage = prose(rng, n)
-        for _ in range(3):
-            planted.append((f"{prose(rng, 30)} b{len(rows)}", passage, f"{len(rows)}a {prose(rng, 30)}"))
+        for k in range(3):
+            planted.append((f"{prose(rng, 30)} b{k}", passage, f"{k}a {prose(rng, 30)}"))
             rows.append("\n".join(planted[-1]))
     rows += [prose(rng, 80) for _ in range(10)]
     out = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup_stage(spark, corpus(spark, rows), SF).collect()}
