@@ -548,27 +548,76 @@ def test_toxicity_wide_vocabulary(spark):
 
 
 def brute_top(rows, k):
-    ok = [(i, np.floor(np.array(v, float) * 256)) for i, v in rows if i is not None and v is not None and len(v) == 8 and all(c is not None and np.isfinite(c) for c in v)]
+    ok = [(n, i, np.floor(np.array(v, float) * 256)) for n, (i, v) in enumerate(rows) if v is not None and len(v) == 8 and all(c is not None and np.isfinite(c) for c in v)]
     out = []
-    for q, x in ok:
-        if q % 10 == 0:
-            scored = sorted(((-int(x @ y), i) for i, y in ok if i != q))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
-    return sorted(out)
+    for n, q, x in ok:
+        if q is not None and q % 10 == 0:
+            scored = sorted(((-int(x @ y), i is None, i) for m, i, y in ok if m != n), key=lambda t: (t[0], t[1], t[2] or 0))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, _, i) in enumerate(scored)]
+    return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shard", [topk.SHARD, 100])
-def test_topk(spark, shard):
+@pytest.mark.parametrize(("shard", "leaf"), [(topk.SHARD, topk.LEAF), (100, 16), (400, 1)])
+def test_topk(spark, shard, leaf, monkeypatch):
+    monkeypatch.setattr(topk, "LEAF", leaf)
     rng = np.random.default_rng(3)
     rows = [(i, [float(c) for c in rng.normal(size=8).astype(np.float32)]) for i in range(600)]
     same = rows[3][1]
     rows += [(i, same) for i in range(600, 1000)]  # a common vector: many ties
     rows += [(1000, None), (1010, [None] + [0.0] * 7), (1020, [float("nan")] * 8), (1030, [float("inf")] * 8), (None, same), (1040, [0.1]), (1050, []), (1060, [0.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).repartition(3)
-    got = sorted(map(tuple, topk.top_k(df, F.col("id") % 10 == 0, shard_rows=shard).collect()))
+    rows += [(20, same), (20, rows[20][1]), (30, [5.0] * 8), (30, [5.0] * 8), (None, [9.0] * 8), (1070, [-0.001] * 8)]  # repeated ids: each row is a query, and a candidate of the others
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("row", F.lit("x")).repartition(3)
+    got = sorted(map(tuple, topk.top_k(df, F.col("id") % 10 == 0, shard_rows=shard).collect()), key=str)
     assert got == brute_top(rows, 5)
 
 
+def test_topk_prunes_by_boxes():
+    """On clustered vectors a search opens few leaves; it equals a full scan, also when kth comes from elsewhere."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 6)) * 300
+    x = np.floor(centres[np.repeat(np.arange(40), 200)] + rng.normal(size=(8000, 6)) * 3)
+    ids = rng.permutation(8000)
+    tree, q = topk.Tree(ids, x), x[:30]
+    assert (tree.child >= 0).sum() > 20
+    for n in range(len(tree.first)):
+        part = tree.x[tree.first[n] : tree.last[n]]
+        assert (part.min(0) == tree.low[n]).all() and (part.max(0) == tree.high[n]).all()
+    seen = []
+    for at in range(30):
+        scores = x @ q[at]
+        want = sorted(zip(-scores[np.arange(8000) != at], ids[np.arange(8000) != at], strict=True))[:5]
+        for kth in (-np.inf, -want[4][0]):
+            touched = []
+            tree.x = Counted(np.asarray(tree.x), touched)
+            r, place, s = tree.search(np.array([at]), q[at : at + 1], np.array([kth]), 5, np.arange(8000)[tree.order])
+            assert sorted(zip(-s, tree.ids[place], strict=True)) == want
+            seen.append(sum(touched))
+    assert np.mean(seen) < 8000 / 4
+
+
+class Counted:
+    """Rows of a matrix, counting those that are read."""
+
+    def __init__(self, x, touched):
+        self.x, self.touched = x, touched
+
+    def __getitem__(self, at):
+        self.touched.append(at.stop - at.start)
+        return self.x[at]
+
+    def __array__(self, dtype=None, copy=None):
+        return self.x
+
+
+def test_cells_are_even_and_cover_all():
+    x = np.random.default_rng(5).normal(size=(3000, 4))
+    for n in (1, 2, 7, 16):
+        counts = np.bincount(topk.Cells(x, n).of(x))
+        assert len(counts) == n and counts.min() > 0.4 * 3000 / n
+    assert topk.Cells(np.zeros((50, 4)), 8).of(x).max() == 0
+    assert topk.Cells(np.array([[0.0]] * 9 + [[1.0]]), 4).of(np.array([[0.0], [1.0], [7.0]])).tolist()[1:] == [topk.Cells(np.array([[0.0]] * 9 + [[1.0]]), 4).of(np.array([[1.0]]))[0]] * 2
+
+
 def test_topk_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 128 + 128 * 128)]
