@@ -104,11 +104,12 @@ def key_filter(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(table_.view(np.uint64))
 
 
-def may_hold(table_: np.ndarray, keys: list[bytes]) -> np.ndarray:
+def may_hold(table_: np.ndarray, keys: list[bytes] | np.ndarray) -> np.ndarray:
     """For each digest, whether it may be in the filter."""
-    if not keys:
+    raw = keys.tobytes() if isinstance(keys, np.ndarray) else b"".join(keys)
+    if not raw:
         return np.zeros(0, bool)
-    p = np.frombuffer(b"".join(keys), ">u4").reshape(len(keys), -1)[:, :3].astype(np.int64) % (len(table_) * 64)
+    p = np.frombuffer(raw, ">u4").reshape(len(keys), -1)[:, :3].astype(np.int64) % (len(table_) * 64)
     return (((table_[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)) == 1).all(1)
 
 

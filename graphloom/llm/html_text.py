@@ -1,8 +1,10 @@
 """Main-text extraction: flat text blocks, classified by a decision tree.
 
-A page is cut at block-level tags into flat blocks. Each has its word count and link density and those of both
-neighbours, and what its enclosing elements say (a menu, a footer, an article ...). A small decision tree, trained on the
-labelled table below when the module is loaded, keeps or drops the block.
+A page is cut at block-level tags into flat blocks. Each has its word count and link density and those of two
+neighbours on either side, and what its enclosing elements say (a menu, a footer, an article ...). A small decision tree,
+trained on the labelled table below when the module is loaded, keeps or drops the block. On pages that mark neither the
+article nor what isn't, word counts and link densities alone decide; where they can't tell, as with a paragraph of two
+words and a menu entry without a link, the marks do.
 """
 
 from __future__ import annotations
@@ -44,7 +46,13 @@ ASIDE_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article post entry story main content body text maincontent postbody articlebody prose".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "main", "page_has_main", "heading", "near_main")
+#: Of the block, its neighbours and theirs; 0 beyond the page's ends. Then its marks, and whether the page marks an article.
+FEATURES = (
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "words_2_before", "links_2_before", "words_2_after", "links_2_after",
+    "aside", "main", "heading", "page_has_main",
+)
+#: Beyond so many words a block is long, however long.
+LONG = 60
 
 
 @dataclass
@@ -156,83 +164,63 @@ def blocks(page: str) -> list[TextBlock]:
 
 
 def features(page: list[TextBlock]) -> np.ndarray:
-    x = np.zeros((len(page), len(FEATURES)))
-    has_main = any(b.main and not b.aside for b in page)
-    for k, b in enumerate(page):
-        before, after = page[k - 1] if k else TextBlock(), page[k + 1] if k + 1 < len(page) else TextBlock()
-        near = any(o.words >= 15 and o.links < 0.3 and not o.aside for o in page[max(0, k - 3) : k + 4])
-        x[k] = min(b.words, 200), b.links, min(before.words, 200), before.links, min(after.words, 200), after.links, b.aside, b.main, has_main, b.heading, near
-    return x
-
-
-#: Labelled blocks, columns as FEATURES, then 1 for article text.
-LABELLED = np.array(
-    [
-        # menus, headers, footers, adverts, forms, comments: marked by what encloses them
-        (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0, 0, 0),
-        (2, 1.0, 0, 0.0, 2, 1.0, 1, 0, 0, 0, 0, 0),
-        (14, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 1, 0),
-        (60, 0.0, 5, 0.2, 80, 0.0, 1, 0, 1, 0, 1, 0),
-        (45, 0.0, 40, 0.0, 30, 0.0, 1, 1, 1, 0, 1, 0),
-        (18, 0.0, 70, 0.0, 0, 0.0, 1, 0, 1, 0, 1, 0),
-        (25, 0.1, 90, 0.0, 12, 0.0, 1, 1, 1, 0, 1, 0),
-        (3, 0.0, 30, 0.0, 25, 0.0, 1, 1, 1, 1, 1, 0),
-        (110, 0.0, 30, 0.0, 25, 0.0, 1, 0, 0, 0, 1, 0),
-        (4, 0.0, 30, 0.0, 2, 1.0, 1, 0, 0, 1, 1, 0),
-        # pages with an article element: blocks within it
-        (9, 0.0, 12, 0.0, 60, 0.0, 0, 1, 1, 1, 1, 1),
-        (60, 0.0, 9, 0.0, 45, 0.0, 0, 1, 1, 0, 1, 1),
-        (120, 0.05, 60, 0.0, 45, 0.0, 0, 1, 1, 0, 1, 1),
-        (2, 0.0, 60, 0.0, 80, 0.0, 0, 1, 1, 0, 1, 1),
-        (1, 0.0, 3, 0.0, 4, 0.0, 0, 1, 1, 0, 0, 1),
-        (3, 0.0, 8, 0.0, 14, 0.0, 0, 1, 1, 0, 0, 1),
-        (5, 0.4, 60, 0.0, 50, 0.0, 0, 1, 1, 0, 1, 1),
-        (3, 1.0, 60, 0.0, 50, 0.0, 0, 1, 1, 0, 1, 1),
-        (6, 0.0, 90, 0.0, 14, 0.0, 0, 1, 1, 0, 1, 1),
-        (200, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1, 1),
-        (5, 0.0, 1, 1.0, 0, 0.0, 0, 1, 1, 1, 0, 1),
-        (12, 0.0, 30, 0.0, 5, 0.5, 0, 1, 1, 0, 1, 1),
-        (8, 0.0, 60, 0.0, 3, 1.0, 0, 1, 1, 0, 1, 1),
-        (4, 0.0, 60, 0.0, 20, 0.3, 0, 1, 1, 0, 1, 1),
-        (30, 0.5, 5, 1.0, 20, 1.0, 0, 1, 1, 0, 1, 1),
-        (1, 1.0, 4, 1.0, 2, 1.0, 0, 1, 1, 0, 0, 1),
-        # pages with an article element: blocks outside it
-        (2, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1, 0, 1, 0),
-        (30, 0.0, 60, 0.0, 12, 0.2, 0, 0, 1, 0, 1, 0),
-        (4, 0.0, 0, 0.0, 1, 1.0, 0, 0, 1, 1, 0, 0),
-        (12, 0.5, 40, 0.0, 3, 0.0, 0, 0, 1, 0, 1, 0),
-        (90, 0.0, 12, 0.0, 9, 0.0, 0, 0, 1, 0, 1, 0),
-        # pages without one: long text with few links
-        (70, 0.0, 2, 0.0, 55, 0.0, 0, 0, 0, 0, 1, 1),
-        (40, 0.1, 70, 0.0, 3, 1.0, 0, 0, 0, 0, 1, 1),
-        (25, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 1, 1),
-        (16, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 1),
-        (150, 0.2, 12, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 1),
-        (20, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 1, 1),
-        (9, 0.0, 50, 0.0, 4, 1.0, 0, 0, 0, 0, 1, 1),
-        # ... short text near it
-        (6, 0.0, 3, 1.0, 70, 0.0, 0, 0, 0, 1, 1, 1),
-        (3, 0.0, 70, 0.0, 40, 0.0, 0, 0, 0, 0, 1, 1),
-        (8, 0.0, 40, 0.0, 12, 0.0, 0, 0, 0, 0, 1, 1),
-        (2, 0.0, 25, 0.0, 8, 0.0, 0, 0, 0, 0, 1, 1),
-        (5, 0.2, 25, 0.0, 90, 0.1, 0, 0, 0, 0, 1, 1),
-        # ... links, and short text far from it
-        (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
-        (3, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 1, 0),
-        (20, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 1, 0),
-        (35, 0.7, 9, 0.6, 9, 1.0, 0, 0, 0, 0, 0, 0),
-        (6, 0.6, 25, 0.0, 30, 0.0, 0, 0, 0, 0, 1, 0),
-        (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0),
-        (7, 0.0, 5, 0.3, 1, 0.0, 0, 0, 0, 0, 0, 0),
-        (3, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 0, 0),
-    ]
-)
+    """A row of FEATURES for each block."""
+    n = len(page)
+    own = np.zeros((n + 4, 2))  # two blocks without words on either side
+    own[2 : n + 2] = [(min(b.words, LONG), b.links) for b in page] if page else np.zeros((0, 2))
+    marks = np.array([(b.aside, b.main, b.heading) for b in page], float).reshape(n, 3)
+    has_main = np.full((n, 1), any(b.main and not b.aside for b in page), float)
+    return np.hstack([own[2 : n + 2], own[1 : n + 1], own[3 : n + 3], own[:n], own[4:], marks, has_main])
+
+
+#: Labelled pages, a block a word: + article text or - not; its marks (. none, a aside, m main, b both, h heading, H heading
+#: in main); words; after a colon the share of them in links, in per cent, if there is any.
+LABELLED = """
+-.1:100 -.1:100 -.1:100 -.2:100 -.1:100 -.10 +h9 +.70 +.45 +.3 +.90 +.60 +.8 +.120 -.9
+-.2:100 -.1:100 -.1:100 -.6 +h6 +.150 +.2 +.25 +.200 +.1 +.80 -.12
+-.3:100 -.2:100 -.4:100 -.1:100 +h11 +.5 +.64 +.180 +.12 +.33 -.3:100 -.2:100 -.2:100 -.14
+-.1:100 -.1:100 -.12 +h8 +.28 +.19 +.75 +.22 -.2:100 -.1:100
+-.4 -.1:100 -.2:100 -.1:100 +h7 +.40:8 +.55:5 +.6:30 +.90:3 -.5:60 -.4:100 -.3:100 -.8:25
+-.1:100 -.1:100 -.1:100 -.7 +h10 +.95 +.4 +.52 -.h4 -.6:100 -.7:100 -.5:100 -.6:100 -.11:20
+-.2:100 -.2:100 +h5 +.31 +.17 +.26:4 +.21 +.140 -.13 -.3:100 -.2:100
+-.5:80 -.6:70 +.210 +.180 +.95 -.7
+-.1:100 -.3 -.2:100 -.8 +h12 +.36 +.7 +.48 +.2 +.39 -.6 -.4
+-.9:90 -.12:85 -.20:80 -.15:90 -.30:70 -.8:100
+-.2 -.1:100 -.4 -.1:100 -.3:100 -.2
+-.1:100 -.2:100 -.11 +h8 +.20 +.24 +.16:10 +.30 -.35:70 -.28:80 -.9
++.300
++h4 +.44 +.3 +.66
+-a1:100 -a1:100 -a2:100 -a9 +H9 +m80 +m45 +m2 +m120 +m1 +m8 -a9
+-a1:100 -a1:100 -a1:100 -a12 +H7 +m1 +m3 +m6 +m2 -a10
+-a1:100 -a2:100 -a8 +H11 +m15 +m4 +m9 +m60 +m1 -a7
+-a1:100 -.3 -a14 +H6 +m30:10 +m5:40 +m90 +m3:100 +m50 -b4:100 -b3:100 -b40 -a18 -a55 -a70 -.9
+-.1:100 -.2:100 -.20 +H8 +m200 +m12 +m3 -b2 -b25 -b60 -.35 -.80 -.5:50
+-a1:100 -a1:100 +m300 -a40 -a30 -a9
+-a2:100 -.1:100 -.4 +H10 +m40 +m22 +m18 +m75 -m2:100 -m4:100 -m3:100 -m5:100 -a6
+-a1:100 -.90 -.12 +H9 +m1 +m70 -m3:100 -m4:100 -m4:100 -a30 -.60
+-a1:100 -a1:100 -a2:100 +h8 +.50 +.3 +.70 +.16 +.4 +.33 -a25 -a80 -a9
+-a9 -a2:100 -a30 +h12 +.90 +.60 +.2 +.45 -ah3 -a40 -a70 -a12 -a6:50
+-a60 -a75 +h5 +.28 +.37 +.5 +.41 -a8
+-a1:100 -a10 +H8 +m2 -a9
+-a1:100 -a11 +H3 +m25 +m1 -a14
+"""
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    x, y = [], []
+    for line in LABELLED.split("\n"):
+        page = []
+        for keep, marks, words, links in re.findall(r"([+-])([.amhHb]+)(\d+)(?::(\d+))?", line):
+            page.append(TextBlock(words=int(words), links=int(links or 0) / 100, aside=bool(set(marks) & set("ab")), main=bool(set(marks) & set("mbH")), heading=bool(set(marks) & set("hH"))))
+            y.append(keep == "+")
+        x.append(features(page))
+    return np.concatenate(x), np.array(y, float)
 
 
 class Tree:
     """Binary decision tree by Gini impurity; node: (feature, threshold, left, right) or a class."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
         self.root = self._grow(x, y, depth)
 
     def _grow(self, x: np.ndarray, y: np.ndarray, depth: int):
@@ -267,7 +255,7 @@ class Tree:
         return out
 
 
-TREE = Tree(LABELLED[:, :-1], LABELLED[:, -1])
+TREE = Tree(*labelled())
 
 
 def main_text(page: str | None) -> str:

@@ -94,9 +94,11 @@ def test_repeated_windows_of_one_shard():
         parts = [bytes(rng.choice(alphabet) for _ in range(rng.randint(12, 60))) for _ in range(12)]
         parts += [parts[0][3:] + b"zz" + parts[1], parts[2]]
         known = np.array([False] * len(parts))
-        hits, _, _ = suffix_dedup.repeated([np.frombuffer(p, np.uint8) for p in parts], known, unit)
+        hit, heads, start = suffix_dedup.repeated([np.frombuffer(p, np.uint8) for p in parts], known, unit)
         seen = collections.Counter(p[i : i + 12] for p in parts for i in range(len(p) - 11))
-        assert [h.tolist() for h in hits] == [[seen[p[i : i + 12]] > 1 for i in range(len(p) - 11)] for p in parts]
+        assert [hit[a : a + len(p)].tolist() for a, p in zip(start, parts, strict=True)] == [[seen[p[i : i + 12]] > 1 for i in range(len(p) - 11)] + [False] * 11 for p in parts]
+        whole = b"".join(parts)
+        assert sorted(whole[i : i + 12] for i in heads) == sorted(seen)
 
 
 def test_repeats_around_zero_bytes(spark):
@@ -142,12 +144,20 @@ def test_words_of_long_texts(monkeypatch):
     assert all((a == b).all() for a, b in zip(want, suffix_dedup.words(t), strict=True))
 
 
-def test_anchor_of_equal_windows_is_equal():
-    rng, unit = random.Random(2), suffix_dedup.BYTES
+def test_anchor_of_equal_windows_is_equal(monkeypatch):
+    rng = random.Random(2)
     shared = prose(rng, 80).encode()[:450]
-    a, b = (np.frombuffer(x, np.uint8) for x in (b"x" * 37 + shared + b"y" * 50, shared + b"z" * 900))
-    assert set(suffix_dedup.anchors(a, unit).tolist()) & set(suffix_dedup.anchors(b, unit).tolist())
-    assert len(suffix_dedup.anchors(unit.symbols(b"short"), unit)) == 0
+    texts = [b"x" * 37 + shared + b"y" * 50, b"", shared + b"z" * 900, b"short"]
+    found, sizes = suffix_dedup.anchors(texts)
+    a, none, b, short = found.to_pylist()
+    assert {h for h in a if h < 1 << suffix_dedup.HASH_BITS} & set(b) and none == short == []
+    assert sizes == [[len(t) for t in texts], [len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", t)) for t in texts]]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)  # runs of long texts in pieces: the same windows and hashes
+    for unit in suffix_dedup.UNITS:
+        seqs = unit.sequences([*texts, prose(rng, 1500).encode()])
+        windows = [(i, w + j, v) for of, first, n, value, _, _ in suffix_dedup.runs(seqs, unit) for i, w, m, v in zip(of, first, n, value, strict=True) for j in range(m)]
+        alone = [(i, w + j, v) for i, x in enumerate(seqs) for _, first, n, value, _, _ in suffix_dedup.runs([x], unit) for w, m, v in zip(first, n, value, strict=True) for j in range(m)]
+        assert windows == alone and len(windows) == sum(max(0, len(x) - unit.length + 1) for x in seqs)
 
 
 # --- 2, 9 ------------------------------------------------------------------------------------------------------------
