@@ -46,10 +46,11 @@ ASIDE_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article post entry story main content body text maincontent postbody articlebody prose".split())
 
-#: Of the block, its neighbours and theirs; 0 beyond the page's ends. Then its marks, and whether the page marks an article.
+#: Of the block, its neighbours and theirs; 0 beyond the page's ends. Then its marks; place: 2 in an article, 0 outside one
+#: on a page that has one, 1 on a page without.
 FEATURES = (
     "words", "links", "words_before", "links_before", "words_after", "links_after", "words_2_before", "links_2_before", "words_2_after", "links_2_after",
-    "aside", "main", "heading", "page_has_main",
+    "aside", "place", "heading",
 )
 #: Beyond so many words a block is long, however long.
 LONG = 60
@@ -168,9 +169,9 @@ def features(page: list[TextBlock]) -> np.ndarray:
     n = len(page)
     own = np.zeros((n + 4, 2))  # two blocks without words on either side
     own[2 : n + 2] = [(min(b.words, LONG), b.links) for b in page] if page else np.zeros((0, 2))
-    marks = np.array([(b.aside, b.main, b.heading) for b in page], float).reshape(n, 3)
-    has_main = np.full((n, 1), any(b.main and not b.aside for b in page), float)
-    return np.hstack([own[2 : n + 2], own[1 : n + 1], own[3 : n + 3], own[:n], own[4:], marks, has_main])
+    without = not any(b.main and not b.aside for b in page)
+    marks = np.array([(b.aside, 1 if without else 2 * b.main, b.heading) for b in page], float).reshape(n, 3)
+    return np.hstack([own[2 : n + 2], own[1 : n + 1], own[3 : n + 3], own[:n], own[4:], marks])
 
 
 #: Labelled pages, a block a word: + article text or - not; its marks (. none, a aside, m main, b both, h heading, H heading
@@ -203,6 +204,33 @@ LABELLED = """
 -a60 -a75 +h5 +.28 +.37 +.5 +.41 -a8
 -a1:100 -a10 +H8 +m2 -a9
 -a1:100 -a11 +H3 +m25 +m1 -a14
+-a1:100 -a2:100 -a10 +H9 +m44 +m2 +m60 +m8 +m1 +m31 +m4 +m17 +m2 +m57 +m60 +m3 -a8
+-a1:100 -a1:100 -a9 +H12 +m1 +m60 +m60 +m18 +m2 +m8 +m31 +m42 +m11 +m4 +m3 -a13
+-.1:100 -.2:100 -.12 +H9 +m2 +m60 +m60 +m2 +m12 +m41 +m8 +m1 +m6 -.11
++H3 +m4 +m1 +m9 +m1
++m6 +m1 +m2
++m60 +m9 -m2:100 -m3:100 -m2:100 -a9
+-a1:100 +H7 +m40 +m13 +m3:100 +m40 +m16 -m4:100 -m3:100
+-.2:100 +m12 +m5 +m2:100 +m60 +m4 -.9
++.30
++.22
+-.1:100 -.3:100 +h8 +.60 +.30 -.9
+-.2:100 -.1:100 -.9 +h9 +.70 +.18 -.12
+-.1:100 -.1:100 +h6 +.50 +.8 -.14
+-.1:100 -.2:100 -.10 +h9 +.60 +.2 -.8
+-.3:100 -.1:100 -.8 +h5 +.44 +.33 +.40 -.11
++h5 +.25
++H9 +m60 +m30 +m14
+-.1:100 -.2:100 -.9 +H7 +m80 +m12
+-a1:100 -a1:100 +m45 +m28 +m8
+-.2:100 -.1:100 +H6 +m20 +m9 +m3
+-.1:100 -.1:100 -.11 +m6 +m35 +m5
+-a1:100 -.2:100 +m9 +m4 +m70 +m10 +m12
+-.2:100 -.7 +m11 +m8 -.30 -.25 -.10
+-.1:100 +m16 +m7 +m11 -.6 -.50
+-a1:100 -a2:100 +H4 +m8 +m5 +m3 -.6 -.3
+-.1:100 -.2 +m12 +m1 -m2:100 -m3:100 -.7
+-.1:100 -.2 -.3:100 -.8 +H10 +m60 +m1 +m9 +m29 +m2 +m60 +m16 +m1 -.40 -.35 -.9:30
 """
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html
 import random
 import re
 import string
@@ -298,6 +299,47 @@ def test_html(spark):
         assert got[i].n_chars == len(got[i].text)
 
 
+def article(page):
+    """The article element's text, block by block, by plain patterns; enough for the test tables' pages."""
+    found = re.search(r"<article>(.*?)</article>", page, re.S)
+    parts = re.split(r"<(?:/?(?:p|h1|div)|br)[^>]*>", found[1] if found else "")
+    return " ".join(t for p in parts if (t := " ".join(html.unescape(re.sub(r"</?b>", "", p)).split())))
+
+
+def test_html_of_the_tables():
+    """On every page the article; nearly so on pages whose marks are taken away, where words and links alone decide."""
+    import pyarrow.parquet as pq
+
+    pages = [p or "" for sf in ("sf0.001", "sf0.1") for p in pq.read_table(f"/root/testdata/{sf}/pages.parquet")["html"].to_pylist()]
+    both = more = 0
+    for p in pages:
+        want = article(p)
+        assert html_text.main_text(p) == want
+        bare = re.sub(r"<(/?)(article|nav|footer|h1)\b[^>]*>", r"<\1div>", p).replace(' class="ad"', "")
+        got, words = collections.Counter(html_text.main_text(bare).split()), collections.Counter(want.split())
+        both += 2 * (got & words).total()
+        more += got.total() + words.total()
+    assert both / more > 0.99
+
+
+def test_html_tree_uses_counts_and_densities():
+    x, y = html_text.labelled()
+    assert (html_text.TREE.predict(x) == y).mean() > 0.98
+
+    def used(node):
+        return set() if isinstance(node, bool) else {html_text.FEATURES[node[0]]} | used(node[2]) | used(node[3])
+
+    assert {"words", "links", "words_before", "links_before", "words_after", "links_after"} <= used(html_text.TREE.root)
+
+
+def test_html_of_empty_tables_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>" + "w " * 50 + "</p>", "t", 3, 4)], "page_id int, url string, html string, text string, n_chars int, kept int")
+    assert html_text.extract(df.limit(0)).collect() == []
+    assert [tuple(r) for r in html_text.extract(df).collect()] == [(1, "u", ("w " * 50).strip(), 99)]
+    deep = "<div>" * 3000 + "x " * 30 + "</div>" * 3000
+    assert html_text.main_text(deep) == ("x " * 30).strip()
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 
