@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ class EdgeTable:
 
     def __init__(self, df: DataFrame | Callable[[], DataFrame], src_label: str | None = None, dst_label: str | None = None):
         self._df, self.src_label, self.dst_label = df, src_label, dst_label
+        self.source: EdgeSource | None = None
+        self.kind: str | None = None
 
     @property
     def df(self) -> DataFrame:
@@ -41,6 +43,19 @@ class EdgeTable:
         return [c for c in self.df.columns if c not in EDGE_COLUMNS]
 
 
+class EdgeSource:
+    """Edges of several types in one table with a column `type`, given as a function that is called when they are first used.
+    Links of several of its types come from one scan."""
+
+    def __init__(self, df: Callable[[], DataFrame]):
+        self.df = cache(df)
+
+    def table(self, kind: str, src_label: str | None = None, dst_label: str | None = None) -> EdgeTable:
+        out = EdgeTable(lambda: self.df().filter(F.col("type") == kind).drop("type"), src_label, dst_label)
+        out.source, out.kind = self, kind
+        return out
+
+
 class NodeTables(Mapping):
     """Node tables by label, each a DataFrame or a function that gives one when its label is first used."""
 
@@ -101,7 +116,15 @@ class PropertyGraph:
             if some is None:
                 raise GraphError("UnknownEdgeType", "the graph has no edges")
             return some.df.filter(F.lit(False)).select("src", "dst", "edge_id", F.lit("").alias("type"))
-        return reduce(DataFrame.unionByName, (self.edges[n].df.select("src", "dst", "edge_id", F.lit(n).alias("type")) for n in fits))
+        shared: dict[EdgeSource, list[str]] = {}
+        parts = []
+        for n in fits:
+            if (t := self.edges[n]).source is not None and t.kind == n:
+                shared.setdefault(t.source, []).append(n)
+            else:
+                parts.append(t.df.select("src", "dst", "edge_id", F.lit(n).alias("type")))
+        parts += [source.df().filter(F.col("type").isin(*kinds)).select("src", "dst", "edge_id", "type") for source, kinds in shared.items()]
+        return reduce(DataFrame.unionByName, parts)
 
     def with_index(self, label: str, prop: str) -> PropertyGraph:
         """Notes that a property is looked up often. Results don't depend on it; save() sorts the label's files by it, so
@@ -127,5 +150,7 @@ def present(df: DataFrame, prop: str) -> Column:
 
 
 def both_ways(links: DataFrame) -> DataFrame:
-    """Each link as seen from both ends; a self-loop is seen twice."""
-    return links.unionByName(links.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
+    """Each link as seen from both ends, in one scan, with `way` 0 out, 1 in; a self-loop is seen twice."""
+    rest = [c for c in links.columns if c not in ("src", "dst")]
+    seen = lambda a, b, way: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), *rest, F.lit(way).alias("way"))
+    return links.select(F.inline(F.array(seen("src", "dst", 0), seen("dst", "src", 1))))

@@ -30,11 +30,13 @@ def bool_filter(df: DataFrame, predicate: pr.Predicate) -> DataFrame:
 
 def expand(bindings: DataFrame, links: DataFrame, start: str, var: str, direction: str = "out", distinct: bool = False) -> DataFrame:
     """For each row one row for each link of its start node; rows without any go. distinct: one for each neighbour and way."""
-    out = links.select(F.col("src").alias("__s"), F.col("dst").alias(var))
-    back = links.select(F.col("dst").alias("__s"), F.col("src").alias(var))
-    if distinct:
-        out, back = out.distinct(), back.distinct()
-    pairs = {"out": lambda: out, "in": lambda: back, "both": lambda: out.unionByName(back)}[direction]()
+    if direction == "both":
+        ways = both_ways(links.select("src", "dst"))
+        pairs = (ways.distinct() if distinct else ways).select(F.col("src").alias("__s"), F.col("dst").alias(var))
+    else:
+        near, far = ("src", "dst") if direction == "out" else ("dst", "src")
+        pairs = links.select(F.col(near).alias("__s"), F.col(far).alias(var))
+        pairs = pairs.distinct() if distinct else pairs
     return bindings.join(pairs, F.col(start) == F.col("__s")).drop("__s")
 
 
@@ -73,4 +75,4 @@ def project_prop(graph: PropertyGraph, bindings: DataFrame, label: str, var: str
 
 def links_of(graph: PropertyGraph, types: list[str] | None = None, both: bool = False) -> DataFrame:
     links = graph.links(types)
-    return both_ways(links) if both else links
+    return both_ways(links).drop("way") if both else links

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError, NotFound
-from graphloom.model import PropertyGraph
+from graphloom.model import PropertyGraph, both_ways
 from graphloom.storage import written
 
 
 def _ways(links: DataFrame, direction: str) -> DataFrame:
     """(node, neighbor, edge_id, type, way): links as seen from a node; way 0 out, 1 in."""
-    out = links.select(F.col("src").alias("node"), F.col("dst").alias("neighbor"), "edge_id", "type", F.lit(0).alias("way"))
-    back = links.select(F.col("dst").alias("node"), F.col("src").alias("neighbor"), "edge_id", "type", F.lit(1).alias("way"))
     if direction not in ("out", "in", "both"):
-        raise GraphError("DirectionInvalid", f"edge direction '{direction}' must be 'out', 'in', or 'both'")
-    return {"out": out, "in": back}.get(direction) or out.unionByName(back)
+        raise GraphError("DirectionInvalid", f"a direction is out, in or both, not '{direction}'")
+    if direction == "both":
+        return both_ways(links).select(F.col("src").alias("node"), F.col("dst").alias("neighbor"), "edge_id", "type", "way")
+    near, far, way = ("src", "dst", 0) if direction == "out" else ("dst", "src", 1)
+    return links.select(F.col(near).alias("node"), F.col(far).alias("neighbor"), "edge_id", "type", F.lit(way).alias("way"))
 
 
 def neighbors(graph: PropertyGraph, node_id: int, direction: str = "out", types: list[str] | None = None, distinct: bool = True) -> DataFrame:
@@ -63,10 +64,16 @@ def bfs(
     return found if max_results is None else found.orderBy("depth", "node").limit(max_results)
 
 
+def _pairs(links: DataFrame, direction: str, hops: int) -> DataFrame:
+    pairs = _ways(links, direction).select("node", "neighbor")
+    return written(pairs, "pairs") if hops > 1 else pairs
+
+
 def multi_bfs(links: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "out") -> DataFrame:
     """(root, node, depth) from seeds (root, node): one join for each hop, nodes already seen by the root are dropped, and
-    the hop is written, so plans and lineage stay short. Ends early when no root reaches anything new."""
-    pairs = _ways(links, direction).select("node", "neighbor").distinct()
+    the hop is written, so plans and lineage stay short. Ends early when no root reaches anything new. For several hops the
+    links are written once, as pairs; parallel ones fall together after each join."""
+    pairs = _pairs(links, direction, max_depth)
     seen = frontier = seeds.select("root", "node", F.lit(0).alias("depth")).distinct()
     for depth in range(1, max_depth + 1):
         reached = frontier.select("root", "node").join(pairs, "node").select("root", F.col("neighbor").alias("node")).distinct()
@@ -85,7 +92,7 @@ def traverse_label(graph: PropertyGraph, label: str, max_depth: int, direction:
     among them is one other than the node itself if there is any.
     """
     starts = graph.label(label).select(F.col("id").alias("node")).distinct()
-    pairs = _ways(graph.links(types), direction).select("node", "neighbor").distinct()
+    pairs = _pairs(graph.links(types), direction, max_depth)
     two = Window.partitionBy("node").orderBy("root")
     frontier = starts.select("node", F.col("node").alias("root"))
     found = None

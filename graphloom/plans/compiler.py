@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.model import PropertyGraph, present
+from graphloom.model import PropertyGraph, both_ways, present
 from graphloom.plans import predicates as pr
 from graphloom.plans.spec import Edge, Query, from_dict, validate
 
@@ -58,10 +58,15 @@ def steps_links(graph: PropertyGraph, edge: Edge, labels: dict[str, str]) -> Dat
     types = None if edge.type is None else [edge.type]
     a, b = labels[edge.src], labels[edge.dst]
     forward = graph.links(types, a, b).select("src", "dst")
+    if edge.direction == "both" and a == b:
+        ways = both_ways(forward)
+        return (ways.distinct() if graph.distinct_neighbors else ways).drop("way")
+    if edge.direction == "out":
+        return forward.distinct() if graph.distinct_neighbors else forward
     backward = graph.links(types, b, a).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if graph.distinct_neighbors:
         forward, backward = forward.distinct(), backward.distinct()
-    return {"out": lambda: forward, "in": lambda: backward, "both": lambda: forward.unionByName(backward)}[edge.direction]()
+    return backward if edge.direction == "in" else forward.unionByName(backward)
 
 
 def compile_query(graph: PropertyGraph, query: Query | dict | str) -> Compiled:

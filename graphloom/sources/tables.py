@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.model import EdgeTable, PropertyGraph
+from graphloom.model import EdgeSource, EdgeTable, PropertyGraph
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -28,7 +26,8 @@ def _links(df: DataFrame, src: str, dst: str, edge_id: str, **props: str) -> Dat
 def table_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, parts, orders and documents with their relations; events link customers.
 
-    Edge ids of lineitem relations come from order, line and part, and may repeat where the table's own keys do."""
+    Edge ids of lineitem relations come from order and line, and repeat where the table's own key does: operations on one
+    edge refuse such ids."""
     t = lambda name: read(spark, folder, name)
 
     def documents() -> DataFrame:
@@ -55,8 +54,5 @@ def table_graph(spark: SparkSession, folder: str) -> PropertyGraph:
         "CONTAINS": EdgeTable(lambda: _links(t("lineitem"), "l_orderkey", "l_partkey", line, quantity="l_quantity", price="l_extendedprice"), "Order", "Part"),
         "SUPPLIED_BY": EdgeTable(lambda: _links(t("lineitem"), "l_partkey", "l_suppkey", line), "Part", "Supplier"),
     }
-    events = cache(lambda: t("events"))
-    for kind in EVENT_TYPES:
-        some = lambda kind=kind: _links(events().filter(F.col("event_type") == kind), "user_id", "get_json_object(props, '$.k')", "event_id", ts="ts", value="value")
-        edges[kind] = EdgeTable(some, "Customer", "Customer")
-    return PropertyGraph(nodes, edges)
+    events = EdgeSource(lambda: _links(t("events"), "user_id", "get_json_object(props, '$.k')", "event_id", type="event_type", ts="ts", value="value"))
+    return PropertyGraph(nodes, edges | {kind: events.table(kind, "Customer", "Customer") for kind in EVENT_TYPES})

@@ -15,12 +15,28 @@ def _local_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a local folder."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{_local_dir()}").rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df written to the shared folder and read again. A lost executor loses nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """spark.checkpoint.dir; where it is unset and everything runs on one machine, as in tests, a folder of it."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{_local_dir()}"
+
+
+#: Bytes of input that a task may well write, and tasks for each core that are enough to keep it busy.
+TASK_BYTES, TASKS = 16 << 20, 4
+
+
+def written(df: DataFrame, name: str, of: DataFrame | None = None) -> DataFrame:
+    """Cuts lineage: df written to the shared folder and read again. A lost executor loses nothing of it.
+
+    Many tasks on little data make many small files, so partitions are put together as long as TASKS tasks are left for
+    each core and their share of the input, by the optimizer's estimate for df, or for `of` that it comes from, stays under
+    TASK_BYTES."""
+    spark = df.sparkSession
+    size = int((df if of is None else of)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    tasks = max(TASKS * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    df.coalesce(min(tasks, (1 << 31) - 1)).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
