@@ -223,7 +223,7 @@ def grouped(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         return out.filter(pa.array(may_hold(ready.value, out.column(0).to_pylist())))
 
     texts = map_batches(docs.select(F.col("text").cast("binary").alias("text")), sets, "key binary, s binary")
-    texts = written(texts.groupBy("key").agg(F.first("s").alias("s")).join(needed, "key"), "sets")
+    texts = written(texts.groupBy("key").agg(F.first("s").alias("s")).join(needed, "key"), "sets", docs)
     return written(dealt.join(texts, "key").select("pivot", "blocks", "block", "kind", "key", "s"), "dealt")
 
 
@@ -287,7 +287,7 @@ def components(edges: DataFrame) -> DataFrame:
         best = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
         step = labels.join(best, "key").select("key", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         hop = labels.select(F.col("key").alias("label"), F.col("label").alias("far"))
-        now = written(step.join(hop, "label", "left").select("key", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        now = written(step.join(hop, "label", "left").select("key", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels", edges)
         if now.filter("was <> label").isEmpty():
             return now.select("key", "label")
         labels = now.select("key", "label")
@@ -304,9 +304,9 @@ def classes(docs: DataFrame, k: int = 5, at_least: tuple[int, int] = (80, 100),
     edges = linked(grouped(docs, rows, k), at_least)
     labels = components(edges)
     first = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("low"))
-    first = written(first.join(labels, "key", "left").select("key", "low", F.coalesce("label", "key").alias("label")), "first")
+    first = written(first.join(labels, "key", "left").select("key", "low", F.coalesce("label", "key").alias("label")), "first", rows)
     low = written(first.groupBy("label").agg(F.min("low").alias("component_id")), "lows")
-    by_key = written(first.join(low, "label").select("key", "component_id"), "classes")
+    by_key = written(first.join(low, "label").select("key", "component_id"), "classes", rows)
     out = rows.select("id", "n", "key").filter("n > 0").join(by_key, "key").select("id", "n", "component_id", "key")
     return out.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), "key")).withColumnRenamed("n", "n_shingles")
 

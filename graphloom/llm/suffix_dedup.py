@@ -449,8 +449,8 @@ def found_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     # the filter spares most hashes the way to the join, which then decides
     maybe = map_batches(rows.filter(F.size("anchors") > 0).select("key", "anchors"), known, "key binary, hs array<long>").groupBy("key").agg(F.first("hs").alias("hs"))
     wanted = maybe.select("key", F.explode(F.array_distinct("hs")).alias("h")).join(often, "h").groupBy("key").agg(F.collect_list("h").alias("hs"))
-    wanted = written(wanted, "wanted")
-    source = written(chosen_texts(docs, wanted), "candidates")
+    wanted = written(wanted, "wanted", rows)
+    source = written(chosen_texts(docs, wanted), "candidates", docs)
 
     def cut(b: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
         keys, texts, hs = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
@@ -482,12 +482,11 @@ def found_windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     shards = sized.filter("kinds > 1 OR n = 1").select("h", F.pmod(F.xxhash64("d"), "parts").cast("int").alias("part"), "parts", "d", (F.col("n") > 1).alias("many"), "s")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     shards = shards.repartition(max(partitions(docs.sparkSession), total // TASK), "h", "part").sortWithinPartitions("h", "part")
-    sorted_ = written(shards.mapInArrow(_sorted_shards, "h long, d binary, spans array<int>, cut int, part int, digests binary"), "shards")
+    sorted_ = written(shards.mapInArrow(_sorted_shards, "h long, d binary, spans array<int>, cut int, part int, digests binary"), "shards", pieces)
     hits = sorted_.filter("digests IS NULL").select("h", "d", "spans").unionByName(alone)
     digests = sorted_.filter("digests IS NOT NULL").select("h", "d", "cut", "digests")
     if not digests.isEmpty():
         hits = hits.unionByName(written(digests.repartition("h", "cut").sortWithinPartitions("h", "cut").mapInArrow(_merged, "h long, d binary, spans array<int>"), "merged"))
-    hits = written(hits, "hits")
     places = map_batches(source, lambda b: cut(b, False), schema).select("key", "h", "d", "first")
     moved = places.join(hits, ["h", "d"]).select("key", u.alias("u"), F.transform("spans", lambda v: v + F.col("first")).alias("spans"))
     return moved.groupBy("key", "u").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -539,7 +538,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = [copies.filter(F.col(f"n{i}") >= u.length).select("key", F.lit(i).alias("u"), F.array(F.lit(0), (F.col(f"n{i}") - (u.length - 1)).cast("int")).alias("spans")) for i, u in enumerate(UNITS)]
     found = found_windows(docs, rows).unionByName(whole[0]).unionByName(whole[1])
     lists = [F.flatten(F.collect_list(F.when(F.col("u") == i, F.col("spans")))).alias(u.name) for i, u in enumerate(UNITS)]
-    return rows, written(found.groupBy("key").agg(*lists), "spans")
+    return rows, written(found.groupBy("key").agg(*lists), "spans", rows)
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -565,7 +564,7 @@ def removals(docs: DataFrame) -> DataFrame:
         whole = {k: pa.array(v, pa.int64()) for k, v in (("n_removed", n), ("n_spans", m), ("n_passages", passages), ("n_passage_words", inside))}
         return batch(key=b.column(0), kept=pa.array(sha, pa.string()), **whole)
 
-    changed = written(map_batches(source.select("key", "text", "bytes", "words"), run, "key binary, kept string, n_removed long, n_spans long, n_passages long, n_passage_words long"), "changed")
+    changed = map_batches(source.select("key", "text", "bytes", "words"), run, "key binary, kept string, n_removed long, n_spans long, n_passages long, n_passage_words long")
     number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return (
         rows.select(F.col("id").alias("doc_id"), "key", "n_bytes", "sha")
