@@ -31,7 +31,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = near_dedup.classes(rows, k=5, id_col="__row")
     ids = rows.select(F.col("__row").alias("id"), F.struct(F.col("doc_id"), F.xxhash64("text"), F.col("__row")).alias("__order"))
-    groups = written(found.filter("n_shingles > 0").join(ids, "id").select("component_id", "__order"), "groups")
+    groups = written(found.filter("n_shingles > 0").join(ids, "id").select("component_id", "__order"), "groups", rows)
     first = written(groups.groupBy("component_id").agg(F.min("__order").alias("__first")), "first")
     key = F.unhex(F.md5(F.col("__row").cast("string").cast("binary")))
     gone = groups.join(first, "component_id").filter("__order <> __first").select(F.col("__order.__row").alias("__row"))
