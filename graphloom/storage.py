@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str, of: DataFrame | None = None) -> DataFrame:
     each core and their share of the input, by the optimizer's estimate for df, or for `of` that it comes from, stays under
     TASK_BYTES."""
     spark = df.sparkSession
-    size = int((df if of is None else of)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int((df if of is None else of)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     tasks = max(TASKS * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.coalesce(min(tasks, (1 << 31) - 1)).write.parquet(path)
