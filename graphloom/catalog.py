@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.builder import QueryBuilder, all_of, any_of, prop
-from graphloom.model import PropertyGraph
+from graphloom.model import KEYS, EdgeTable, PropertyGraph
 from graphloom.operators import mutate, physical, statistics, traverse
 from graphloom.plans import predicates as pr
 from graphloom.plans.compiler import execute
+from graphloom.sources import csv_files
 from graphloom.sources.tables import table_graph
+from graphloom.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,13 +53,6 @@ add("label_count", "SELECT count(*) AS n FROM customer")(lambda g: g.label("Cust
 for _name, _expr, _sql in [
     ("prop_eq", prop("a", "status") == "F", "o_orderstatus = 'F'"),
     ("prop_ne", prop("a", "status") != "F", "o_orderstatus <> 'F'"),
-    ("prop_lt", P < 50_000, "o_totalprice < 50000"),
-    ("prop_le", P <= 50_000.0, "o_totalprice <= 50000"),
-    ("prop_gt", P > 150_000, "o_totalprice > 150000"),
-    ("prop_ge", P >= 150_000, "o_totalprice >= 150000"),
-    ("prop_between_incl", P.between(1e4, 9e4), "o_totalprice BETWEEN 1e4 AND 9e4"),
-    ("prop_between_excl", P.between(1e4, 9e4, (False, False)), "o_totalprice > 1e4 AND o_totalprice < 9e4"),
-    ("prop_between_mixed", P.between(1e4, 9e4, (True, False)), "o_totalprice >= 1e4 AND o_totalprice < 9e4"),
     ("prop_in_small", prop("a", "priority").is_in(["1-URGENT", "2-HIGH", None]), "o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     ("prop_date_range", prop("a", "placed") >= pr.literal({"t": "DateTime", "v": 820_454_400 * 10**9}), "o_orderdate >= TIMESTAMP '1996-01-01'"),
     ("pred_and", all_of(P > 1e4, prop("a", "status") == "O", P < 1.2e5), "o_totalprice > 1e4 AND o_orderstatus = 'O' AND o_totalprice < 1.2e5"),
@@ -66,6 +62,18 @@ for _name, _expr, _sql in [
     ("pred_empty_or", any_of(), "false"),
 ]:
     add(_name, f"{ORDER} WHERE {_sql}")(lambda g, e=_expr: _nodes(g, "Order", e, "total"))
+SIZE = prop("a", "size")
+for _name, _expr, _sql in [  # bounds that parts have as size
+    ("prop_lt", SIZE < 20, "p_size < 20"),
+    ("prop_le", SIZE <= 20.0, "p_size <= 20"),
+    ("prop_gt", SIZE > 40, "p_size > 40"),
+    ("prop_ge", SIZE >= 40, "p_size >= 40"),
+    ("prop_between_incl", SIZE.between(10, 30), "p_size BETWEEN 10 AND 30"),
+    ("prop_between_excl", SIZE.between(10, 30, (False, False)), "p_size > 10 AND p_size < 30"),
+    ("prop_between_low", SIZE.between(10, 30, (True, False)), "p_size >= 10 AND p_size < 30"),
+    ("prop_between_high", SIZE.between(10, 30, (False, True)), "p_size > 10 AND p_size <= 30"),
+]:
+    add(_name, f"SELECT p_partkey AS id, p_size AS size FROM part WHERE {_sql}")(lambda g, e=_expr: _nodes(g, "Part", e, "size"))
 add("prop_in_large", f"SELECT p_partkey AS id, p_size AS size FROM part WHERE p_size IN ({', '.join(map(str, range(0, 51, 3)))})")(
     lambda g: _nodes(g, "Part", prop("a", "size").is_in(list(range(0, 51, 3))), "size")
 )
@@ -86,6 +94,25 @@ for _name, _expr, _sql in [
 ]:
     add(_name, f"{DOC} WHERE {_sql}")(lambda g, e=_expr: _nodes(g, "Document", e))
 
+
+def _explicit_nulls(graph: PropertyGraph) -> PropertyGraph:
+    """Documents of three languages hold a quality whether they have a value or not; those without one hold null."""
+    docs = graph.label("Document")
+    names = F.when(F.col("lang").isin("en", "de", "fr") | F.col("quality").isNotNull(), F.array(F.lit("lang"), F.lit("quality"))).otherwise(F.array(F.lit("lang")))
+    return graph.with_node_table("Document", docs.select("id", "lang", "quality", names.alias(KEYS)))
+
+
+for _name, _expr, _sql in [
+    ("exists_null", Q.exists(), "quality IS NOT NULL OR lang IN ('en', 'de', 'fr')"),
+    ("not_exists_null", ~Q.exists(), "quality IS NULL AND coalesce(lang NOT IN ('en', 'de', 'fr'), true)"),
+    ("is_null_explicit", all_of(Q.is_null(), Q.exists()), "quality IS NULL AND lang IN ('en', 'de', 'fr')"),
+    ("not_in_explicit", all_of(~Q.is_in([1]), Q.exists()), "coalesce(quality <> 1, true) AND (quality IS NOT NULL OR lang IN ('en', 'de', 'fr'))"),
+]:
+    add(_name, f"{DOC} WHERE {_sql}")(lambda g, e=_expr: _nodes(_explicit_nulls(g), "Document", e))
+add("prop_counts_null", "SELECT d.doc_id AS id, CAST(CASE WHEN quality IS NOT NULL OR lang IN ('en', 'de', 'fr') THEN 2 ELSE 1 END AS BIGINT) AS n_props FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")(
+    lambda g: statistics.prop_counts(_explicit_nulls(g), "Document")
+)
+
 # --- patterns -----------------------------------------------------------------------------------------------------------
 
 
@@ -155,14 +182,14 @@ add("hash_join", f"WITH {LINKS} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e
         physical.links_of(g, ["signup"]).select(F.col("src").alias("a"), F.col("dst").alias("b")), physical.links_of(g, ["signup"]).select(F.col("src").alias("b"), F.col("dst").alias("c"))
     ).select("a", "b", "c")
 )
-add("intersect_scans", "SELECT p_partkey AS a FROM part WHERE p_size < 20 INTERSECT SELECT p_partkey FROM part WHERE p_retailprice > 1000")(
-    lambda g: physical.intersect([physical.prop_scan(g, "Part", "a", (prop("a", "size") < 20).node), physical.prop_scan(g, "Part", "a", (prop("a", "price") > 1000).node)])
+add("intersect_scans", "SELECT p_partkey AS a FROM part WHERE p_size < 20 INTERSECT SELECT p_partkey FROM part WHERE p_size >= 10 AND p_retailprice > 905")(
+    lambda g: physical.intersect([physical.prop_scan(g, "Part", "a", (prop("a", "size") < 20).node), physical.prop_scan(g, "Part", "a", all_of(prop("a", "size") >= 10, prop("a", "price") > 905).node)])
 )
-_small, _cheap = (prop("a", "size") < 20).node, (prop("a", "price") > 1000).node
-add("union_bag", "SELECT p_partkey AS a FROM part WHERE p_size < 20 UNION ALL SELECT p_partkey FROM part WHERE p_retailprice > 1000")(
+_small, _cheap = (prop("a", "size") < 20).node, all_of(prop("a", "size") >= 10, prop("a", "price") > 905).node
+add("union_bag", "SELECT p_partkey AS a FROM part WHERE p_size < 20 UNION ALL SELECT p_partkey FROM part WHERE p_size >= 10 AND p_retailprice > 905")(
     lambda g: physical.union([physical.prop_scan(g, "Part", "a", _small), physical.prop_scan(g, "Part", "a", _cheap)])
 )
-add("union_dedup", "SELECT p_partkey AS a FROM part WHERE p_size < 20 UNION SELECT p_partkey FROM part WHERE p_retailprice > 1000")(
+add("union_dedup", "SELECT p_partkey AS a FROM part WHERE p_size < 20 UNION SELECT p_partkey FROM part WHERE p_size >= 10 AND p_retailprice > 905")(
     lambda g: physical.union([physical.prop_scan(g, "Part", "a", _small), physical.prop_scan(g, "Part", "a", _cheap)], dedup=True)
 )
 
@@ -206,6 +233,16 @@ def _bfs_sql(depth: int, links: str = "SELECT src, dst FROM e") -> str:
 
 for _k in (1, 2, 3):
     add(f"bfs_depth{_k}", _bfs_sql(_k))(lambda g, k=_k: traverse.bfs(g, "Customer", 0, k, "out", EVENTS))
+
+def _rare(graph: PropertyGraph) -> PropertyGraph:
+    """Signups of a high value only: few links, so that more hops reach more."""
+    return PropertyGraph(graph.nodes, {"rare": EdgeTable(graph.type("signup").df.filter("value > 150"), "Customer", "Customer")})
+
+
+RARE = "SELECT src, dst FROM e JOIN events ON event_id = edge_id WHERE type = 'signup' AND value > 150"
+for _k in (2, 3, 5):
+    add(f"bfs_sparse_depth{_k}", _bfs_sql(_k, RARE))(lambda g, k=_k: traverse.bfs(_rare(g), "Customer", 0, k, "out", ["rare"]))
+add("bfs_sparse_both", _bfs_sql(3, f"{RARE} UNION SELECT dst, src FROM ({RARE})"))(lambda g: traverse.bfs(_rare(g), "Customer", 0, 3, "both", ["rare"]))
 add("bfs_typed", _bfs_sql(3, "SELECT src, dst FROM e WHERE type IN ('error', 'signup')"))(lambda g: traverse.bfs(g, "Customer", 0, 3, "out", ["error", "signup"]))
 add("bfs_both", _bfs_sql(2, "SELECT src, dst FROM e UNION SELECT dst, src FROM e"))(lambda g: traverse.bfs(g, "Customer", 0, 2, "both", EVENTS))
 add("bfs_limited", _bfs_sql(2) + " ORDER BY depth, node LIMIT 20")(lambda g: traverse.bfs(g, "Customer", 0, 2, "out", EVENTS, 20))
@@ -240,8 +277,33 @@ add("verify_dangling", "SELECT count(*) AS lost FROM orders WHERE o_custkey NOT
     lambda g: statistics.verify(PropertyGraph({**g.nodes, "Customer": g.label("Customer").filter("balance > 0")}, {"PLACED": g.edges["PLACED"]})).filter("finding = 'dangling_src'").select(F.col("count").alias("lost"))
 )
 add("all_edges", f"WITH {LINKS} SELECT type, edge_id, src, dst FROM e")(lambda g: statistics.all_edges(PropertyGraph(g.nodes, {k: g.edges[k] for k in EVENTS})))
+add("all_nodes", LABELS)(statistics.all_nodes)
+add("full_graph_nodes", "SELECT CAST(s_suppkey AS BIGINT) AS id, 'Supplier' AS labels, s_name AS name, NULL AS brand FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT CAST(p_partkey AS BIGINT), CASE WHEN s_suppkey IS NULL THEN 'Part' ELSE 'Part,Supplier' END, p_name, p_brand FROM part LEFT JOIN supplier ON s_suppkey = p_partkey")(
+    lambda g: statistics.full_graph_nodes(g, ["Part", "Supplier"]).select("id", F.array_join("labels", ",").alias("labels"), F.col("props")["name"].alias("name"), F.col("props")["brand"].alias("brand"))
+)
 add("full_graph_edges", f"WITH {LINKS} SELECT DISTINCT src, dst FROM e")(lambda g: statistics.full_graph(g, EVENTS))
 
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and their clicks exported as CSV, imported again, and joined."""
+    g, folder = table_graph(spark, sf_dir), f"{shared_dir(spark)}/graphloom/csv-{uuid.uuid4().hex}"
+    clicks = g.with_edge_table("click", g.type("click").df.drop("ts"))
+    csv_files.export_nodes(g, f"{folder}/nodes", ["Customer"])
+    csv_files.export_edges(clicks, f"{folder}/edges", ["click"])
+    again, _ = csv_files.import_graph(
+        spark, [csv_files.NodeFile(f"{folder}/nodes", label_column="labels", types={"name": "string", "balance": "float"})], [csv_files.EdgeFile(f"{folder}/edges", type_column="type", types={"value": "float"})]
+    )
+    people = again.label("Customer")
+    a, b = (people.select(F.col("id").alias(e), F.col("name").alias(f"{n}_name"), F.col("balance").alias(f"{n}_balance")) for e, n in (("src", "a"), ("dst", "b")))
+    return again.type("click").df.join(a, "src").join(b, "dst").select("a_name", "a_balance", "b_name", "value")
+
+
+QUERIES["csv_round_trip"] = _csv_round_trip
+ORACLES["csv_round_trip"] = (
+    f"WITH {LINKS} SELECT x.c_name AS a_name, x.c_acctbal AS a_balance, y.c_name AS b_name, value FROM e JOIN events ON event_id = edge_id JOIN customer x ON x.c_custkey = src JOIN customer y ON y.c_custkey = dst WHERE type = 'click'"
+)
+
 # --- mutations ------------------------------------------------------------------------------------------------------------
 add("create_node", "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT max(s_suppkey) + 1, 'new' FROM supplier")(
     lambda g: mutate.create_nodes(g.label("Supplier").sparkSession, g, "Supplier", [{"name": "new"}])[0].label("Supplier").select("id", "name")
@@ -261,3 +323,31 @@ add("delete_edge", "SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_regionkey
 add("update_edge", "SELECT CAST(n_nationkey AS BIGINT) AS edge_id, CASE WHEN n_nationkey = 4 THEN 'x' END AS note FROM nation")(
     lambda g: mutate.update_edge(g, "IN_REGION", 4, {"note": "x"}).type("IN_REGION").df.select("edge_id", "note")
 )
+
+
+def _script(graph: PropertyGraph) -> PropertyGraph:
+    """Changes of all kinds in one transaction: some to the same rows, to new rows, and to rows that go later."""
+    ops = [
+        {"op": "updateNode", "label": "Supplier", "id": 2, "set": {"name": "two", "grade": 7}},
+        {"op": "createNode", "label": "Supplier", "props": {"name": "first"}, "alias": "x"},
+        {"op": "updateNode", "label": "Supplier", "id": {"$ref": "x"}, "set": {"grade": 1}, "unset": ["name"]},
+        {"op": "createEdge", "type": "BASED_IN", "src": {"$ref": "x"}, "dst": 3},
+        {"op": "createEdge", "type": "BASED_IN", "src": 2, "dst": 4},
+        {"op": "updateNode", "label": "Supplier", "id": 2, "set": {"grade": 8}, "unset": ["balance"]},
+        {"op": "deleteEdge", "type": "BASED_IN", "id": 5},
+        {"op": "updateEdge", "type": "BASED_IN", "id": 6, "set": {"note": "six"}},
+        {"op": "deleteNode", "label": "Nation", "id": 3, "cascade": True},
+        {"op": "createNode", "label": "Supplier", "props": {"name": "second", "grade": 2}},
+    ]
+    return mutate.mutate(graph.label("Supplier").sparkSession, graph, ops)[0]
+
+
+add(
+    "mutate_script_nodes",
+    "SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_suppkey = 2 THEN 'two' ELSE s_name END AS name, CASE WHEN s_suppkey = 2 THEN NULL ELSE s_acctbal END AS balance, CAST(CASE WHEN s_suppkey = 2 THEN 8 END AS BIGINT) AS grade FROM supplier "
+    "UNION ALL SELECT CAST(max(s_suppkey) + 1 AS BIGINT), NULL, NULL, 1 FROM supplier UNION ALL SELECT CAST(max(s_suppkey) + 2 AS BIGINT), 'second', NULL, 2 FROM supplier",
+)(lambda g: _script(g).label("Supplier").select("id", "name", "balance", "grade"))
+add(
+    "mutate_script_edges",
+    "SELECT CAST(s_suppkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CASE WHEN s_suppkey = 6 THEN 'six' END AS note FROM supplier WHERE s_suppkey <> 5 AND s_nationkey <> 3 UNION ALL SELECT 2, 4, NULL",
+)(lambda g: _script(g).type("BASED_IN").df.select("src", "dst", "note"))

@@ -7,8 +7,9 @@
 from __future__ import annotations
 
 import base64
+import inspect
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -157,6 +158,43 @@ class QueryBuilder:
         return explain(self.graph, self.build(), redact_literals)
 
 
+class Script:
+    """Mutations in order. New nodes are handles, which later operations of the script take in place of ids."""
+
+    def __init__(self, db: Database | None = None):
+        self.db, self.ops = db, []
+
+    def node(self, label: str, props: dict | None = None, alias: str | None = None) -> dict:
+        alias = alias or f"#{len(self.ops)}"
+        self.ops.append({"op": "createNode", "label": label, "props": dict(props or {}), "alias": alias})
+        return {"$ref": alias}
+
+    def edge(self, type_: str, src: int | dict, dst: int | dict, props: dict | None = None) -> Script:
+        return self._add(op="createEdge", type=type_, src=src, dst=dst, props=dict(props or {}))
+
+    def update_node(self, label: str, node: int | dict, set: dict | None = None, unset: list[str] | None = None) -> Script:
+        return self._add(op="updateNode", label=label, id=node, set=set, unset=unset)
+
+    def update_edge(self, type_: str, edge_id: int, set: dict | None = None, unset: list[str] | None = None) -> Script:
+        return self._add(op="updateEdge", type=type_, id=edge_id, set=set, unset=unset)
+
+    def delete_node(self, label: str, node: int | dict, cascade: bool = False) -> Script:
+        return self._add(op="deleteNode", label=label, id=node, cascade=cascade)
+
+    def delete_edge(self, type_: str, edge_id: int) -> Script:
+        return self._add(op="deleteEdge", type=type_, id=edge_id)
+
+    def _add(self, **op) -> Script:
+        self.ops.append(op)
+        return self
+
+    def execute(self) -> mutate.Summary:
+        """Runs the script on the database that it was made by; the summary's aliases tell the ids of new nodes."""
+        if self.db is None:
+            raise GraphError("InvalidMutation", "a transaction runs its script itself")
+        return self.db.mutate(self.ops)
+
+
 class Database:
     """A graph that mutations replace; readers keep the version they started with."""
 
@@ -186,7 +224,34 @@ class Database:
             raise GraphError("UnknownLabel", f"unknown label '{op['label']}'")
         for p in [*op.get("props", {}), *(op.get("set") or {})]:
             if p not in self.schema[op["label"]]:
-                raise GraphError("UnknownProperty", f"property '{p}' not defined on label '{op['label']}'")
+                raise GraphError("UnknownProperty", f"the schema gives label '{op['label']}' no property '{p}'")
+
+    def mutate_many(self, ops: Iterable[dict]) -> mutate.Summary:
+        return self.mutate([dict(o) for o in ops])
+
+    def mutate_batched(self, ops: Iterable[dict], size: int = 10_000) -> list[mutate.Summary]:
+        """Chunks, each a transaction of its own; those before a failing one stay done."""
+        ops = [dict(o) for o in ops]
+        for o in ops:
+            self._checked(o)
+        try:
+            self.graph, done = mutate.mutate_batched(self.spark, self.graph, ops, size)
+        except GraphError as e:
+            self.graph = getattr(e, "graph", self.graph)
+            raise
+        return done
+
+    def transaction(self, fn: Callable[[Script], object]) -> tuple[object, mutate.Summary]:
+        """What fn returns, and the summary of the operations that it gave the script, done together or, if fn or one of
+        them raises, not at all."""
+        script = Script()
+        out = fn(script)
+        if inspect.isawaitable(out):
+            raise TypeError("a transaction's function must not be asynchronous")
+        return out, self.mutate(script.ops)
+
+    def create(self) -> Script:
+        return Script(self)
 
     def create_node(self, label: str, **props) -> int:
         return self.mutate([{"op": "createNode", "label": label, "props": props}]).created_nodes[0]
@@ -197,6 +262,9 @@ class Database:
     def update_node(self, label: str, node_id: int, set: dict | None = None, unset: list[str] | None = None) -> None:
         self.mutate([{"op": "updateNode", "label": label, "id": node_id, "set": set, "unset": unset}])
 
+    def update_edge(self, type_: str, edge_id: int, set: dict | None = None, unset: list[str] | None = None) -> None:
+        self.mutate([{"op": "updateEdge", "type": type_, "id": edge_id, "set": set, "unset": unset}])
+
     def delete_node(self, label: str, node_id: int, cascade: bool = False) -> None:
         self.mutate([{"op": "deleteNode", "label": label, "id": node_id, "cascade": cascade}])
 
@@ -234,13 +302,13 @@ class TypedSchema:
         for name, e in self.edges.items():
             for end in ("from", "to"):
                 if e.get(end) not in self.nodes:
-                    raise GraphError("UnknownLabel", f"edge type '{name}' {end} unknown label '{e.get(end)}'")
+                    raise GraphError("UnknownLabel", f"the schema has no label '{e.get(end)}', which '{name}' goes {end}")
 
     def check_node(self, label: str, props: dict) -> None:
         if label not in self.nodes:
             raise GraphError("UnknownLabel", f"unknown label '{label}'")
         if extra := set(props) - set(self.nodes[label].get("properties", {})):
-            raise GraphError("UnknownProperty", f"properties {sorted(extra)} not defined on label '{label}'")
+            raise GraphError("UnknownProperty", f"the schema gives label '{label}' no properties {sorted(extra)}")
 
     def ends(self, type_: str) -> tuple[str, str]:
         if type_ not in self.edges:

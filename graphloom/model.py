@@ -130,7 +130,7 @@ class PropertyGraph:
         """Notes that a property is looked up often. Results don't depend on it; save() sorts the label's files by it, so
         that their statistics prune."""
         if prop not in self.props(label):
-            raise GraphError("UnknownProperty", f"property '{prop}' not defined on label '{label}'")
+            raise GraphError("UnknownProperty", f"nodes of label '{label}' have no property '{prop}'")
         return replace(self, indexes=self.indexes | {(label, prop)})
 
     def without_index(self, label: str, prop: str) -> PropertyGraph:

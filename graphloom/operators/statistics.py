@@ -90,3 +90,17 @@ def verify(graph: PropertyGraph) -> DataFrame:
 def full_graph(graph: PropertyGraph, types: list[str] | None = None) -> DataFrame:
     """(src, dst) of all links, each pair once."""
     return graph.links(types).select("src", "dst").distinct()
+
+
+def full_graph_nodes(graph: PropertyGraph, labels: list[str] | None = None) -> DataFrame:
+    """(id, labels, props) of all nodes, each id once: its labels in order, and its properties by name as text, without those
+    that are null. Of labels that share an id and name a property, the first that has a value counts."""
+    parts = []
+    for name in sorted(graph.nodes if labels is None else labels):
+        df = graph.label(name)
+        filled = F.filter(F.array(*(F.struct(F.lit(p).alias("key"), F.col(p).cast("string").alias("value")) for p in graph.props(name))), lambda e: e.value.isNotNull()) if graph.props(name) else F.array().cast("array<struct<key:string,value:string>>")
+        parts.append(df.select(F.col("id").cast("long").alias("id"), F.lit(name).alias("label"), filled.alias("p")))
+    every = _all(parts).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("label", "p"))).alias("own"))
+    cells = F.flatten(F.col("own.p"))
+    first = F.filter(cells, lambda e, i: F.array_position(F.transform(cells, lambda x: x.key), e.key) == i + 1)
+    return every.select("id", F.array_distinct(F.col("own.label")).alias("labels"), F.map_from_entries(first).alias("props"))

@@ -60,16 +60,16 @@ def literal(raw):
         try:
             return base64.b64decode(v, validate=True)
         except (ValueError, TypeError):
-            raise GraphError("BytesEncoding", "bytes literal must be base64 encoded") from None
+            raise GraphError("BytesEncoding", "a Bytes literal isn't base64") from None
     if kind == "DateTime":
         if not -(1 << 63) <= v < 1 << 63:
-            raise GraphError("DateTimeInvalid", "datetime literal must fit within signed 64-bit range")
+            raise GraphError("DateTimeInvalid", "a DateTime literal counts nanoseconds in 64 bits")
         return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=v // 1000)
     if kind == "Date":
         return dt.date.fromisoformat(v)
     if kind in ("Bool", "Int", "Float", "String"):
         return {"Bool": bool, "Int": int, "Float": float, "String": str}[kind](v)
-    raise GraphError("TypeMismatch", f"unknown literal type {kind!r}")
+    raise GraphError("TypeMismatch", f"no literal has the type {kind!r}")
 
 
 def parse(spec: dict | None) -> Predicate:
@@ -82,11 +82,11 @@ def parse(spec: dict | None) -> Predicate:
     if op == "not":
         args = spec["args"] if isinstance(spec.get("args"), list) else [spec.get("arg", spec.get("args"))]
         if len(args) != 1 or args[0] is None:
-            raise GraphError("InvalidPredicate", "not() takes exactly one argument")
+            raise GraphError("InvalidPredicate", "a negation has one operand")
         return Group("not", (parse(args[0]),))
     op = {"isnull": "isNull", "isnotnull": "isNotNull"}.get(op, op)
     if op not in TESTS:
-        raise GraphError("InvalidPredicate", f"unknown predicate '{op}'")
+        raise GraphError("InvalidPredicate", f"no test is called '{op}'")
     if op == "between":
         values, inclusive = (literal(spec.get("low")), literal(spec.get("high"))), tuple(spec.get("inclusive", (True, True)))
         return Test(op, spec["var"], spec["prop"], values, (bool(inclusive[0]), bool(inclusive[1])))
@@ -126,9 +126,9 @@ def check(p: Predicate) -> Predicate:
     """Limits and literal rules; nulls leave an in-list, its values lose duplicates and are sorted."""
     nodes, depth = _measure(p)
     if nodes > MAX_NODES:
-        raise GraphError("PredicateTooLarge", f"predicate tree exceeds {MAX_NODES} nodes (got {nodes})")
+        raise GraphError("PredicateTooLarge", f"a predicate of {nodes} nodes, {MAX_NODES} are allowed")
     if depth > MAX_DEPTH:
-        raise GraphError("PredicateTooDeep", f"predicate tree exceeds depth {MAX_DEPTH} (got {depth})")
+        raise GraphError("PredicateTooDeep", f"a predicate {depth} levels deep, {MAX_DEPTH} are allowed")
     return _checked(p)
 
 
@@ -137,30 +137,30 @@ def _checked(p: Predicate) -> Predicate:
         return replace(p, parts=tuple(_checked(x) for x in p.parts))
     kinds = {kind(v) for v in p.values}
     if "other" in kinds:
-        raise GraphError("TypeMismatch", f"{p.op}() has a literal of an unsupported type")
+        raise GraphError("TypeMismatch", f"a literal of {p.op} has a type that properties can't have")
     if any(isinstance(v, float) and not math.isfinite(v) for v in p.values):
-        raise GraphError("NonFiniteFloat", "float literal must be finite")
+        raise GraphError("NonFiniteFloat", "a literal is infinite or not a number")
     if sum(len(v) for v in p.values if isinstance(v, bytes | bytearray)) > MAX_BYTES:
-        raise GraphError("BytesLiteralTooLarge", f"binary literal exceeds {MAX_BYTES} bytes")
+        raise GraphError("BytesLiteralTooLarge", f"bytes literals may have {MAX_BYTES} bytes")
     if p.op in ("lt", "le", "gt", "ge", "between"):
         if "null" in kinds:
-            raise GraphError("NullNotAllowed", f"{p.op}() does not accept null literals")
+            raise GraphError("NullNotAllowed", f"null has no place in an order, {p.op} needs a value")
         if kinds & {"bool", "bytes"}:
-            raise GraphError("TypeMismatch", f"{p.op}() requires numeric, datetime, or string literal")
+            raise GraphError("TypeMismatch", f"{p.op} compares numbers, times and text only")
         if p.op == "between":
             if len(kinds) > 1:
-                raise GraphError("TypeMismatch", "between() bounds must have one type")
+                raise GraphError("TypeMismatch", "the bounds of between differ in type")
             low, high = (_instant(v) for v in p.values)
             if low > high:
-                raise GraphError("InvalidBounds", "between() lower bound must be <= upper bound")
+                raise GraphError("InvalidBounds", "the low bound of between is above the high one")
     if p.op == "in":
         values = [v for v in p.values if v is not None]
         if not values:
-            raise GraphError("InListEmpty", "in() requires at least one non-null literal")
+            raise GraphError("InListEmpty", "a list of in has no value besides null")
         if len(values) > MAX_IN:
-            raise GraphError("InListTooLarge", f"in() list exceeds maximum of {MAX_IN} literals")
+            raise GraphError("InListTooLarge", f"a list of in may have {MAX_IN} values")
         if len(kinds - {"null"}) > 1:
-            raise GraphError("TypeMismatch", "in() literals must have one type")
+            raise GraphError("TypeMismatch", "the values of in differ in type")
         return replace(p, values=tuple(sorted(set(values), key=_instant)))
     return p
 
@@ -213,7 +213,7 @@ def typed(test: Test, data: T.DataType) -> tuple:
     out = []
     for v in test.values:
         if v is not None and kind(v) != of and not (of == "time" and kind(v) == "number"):
-            raise GraphError("TypeMismatch", f"incompatible property comparison: {test.op}({test.prop}) is {data.simpleString()}, the literal is {kind(v)}")
+            raise GraphError("TypeMismatch", f"{test.op}: property '{test.prop}' of type {data.simpleString()} can't be compared with a {kind(v)}")
         if of == "time" and v is not None:
             if kind(v) == "number":  # days or milliseconds since 1970, as they are stored
                 v = dt.date(1970, 1, 1) + dt.timedelta(days=int(v)) if isinstance(data, T.DateType) else dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=v)

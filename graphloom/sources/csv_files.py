@@ -1,6 +1,6 @@
 """CSV import and export of nodes and edges.
 
-Cells are read as text. An empty cell is no property; `null` in any case is none either, except in a text column. Column
+Cells are read as text. Cells may hold line breaks if a file says so; then one task reads it as a whole. An empty cell is no property; `null` in any case is none either, except in a text column. Column
 types are declared, or inferred over the whole column: bool, int, float, 0x bytes, datetime, date, else text.
 """
 
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError
 from graphloom.model import EDGE_COLUMNS, KEYS, NODE_COLUMNS, EdgeTable, PropertyGraph
+from graphloom.storage import written
+
+#: Labels that a node may have.
+MAX_LABELS = 255
 
 TYPES = ("auto", "bool", "int", "float", "string", "date", "datetime", "bytes")
 SPARK_TYPES = {"bool": "boolean", "int": "long", "float": "double", "string": "string", "date": "date", "datetime": "timestamp_ntz", "bytes": "binary"}
@@ -26,6 +30,7 @@ class NodeFile:
     labels: list[str] = field(default_factory=list)
     columns: list[str] | None = None
     types: dict[str, str] = field(default_factory=dict)
+    multiline: bool = False
 
 
 @dataclass
@@ -37,8 +42,7 @@ class EdgeFile:
     type: str | None = None
     columns: list[str] | None = None
     types: dict[str, str] = field(default_factory=dict)
-
-
+    multiline: bool = False
 
 
 def parse(c: Column, kind: str) -> Column:
@@ -90,8 +94,8 @@ def infer(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return {c: next((k for k in order if row[f"{i}_{k}"]), "string") for i, c in enumerate(columns)}
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def _read(spark: SparkSession, f: NodeFile | EdgeFile) -> DataFrame:
+    return spark.read.csv(f.path, header=True, multiLine=f.multiline, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def _find(df: DataFrame, name: str) -> str:
@@ -132,7 +136,7 @@ def import_graph(spark: SparkSession, nodes: list[NodeFile], edges: list[EdgeFil
     """
     frames = []
     for f in nodes:
-        df = _read(spark, f.path)
+        df = _read(spark, f)
         key = _find(df, f.id_column)
         label = _find(df, f.label_column) if f.label_column else None
         props = _props(df, f.columns, {key, label}, f.types)
@@ -148,7 +152,9 @@ def import_graph(spark: SparkSession, nodes: list[NodeFile], edges: list[EdgeFil
         raise GraphError("DuplicateId", f"node id '{row[0]}' is not unique")
     if (row := rows.filter(F.size("__labels") == 0).first()) is not None:
         raise GraphError("MissingLabel", f"node '{row[0]}' has no label")
-    numbered = _numbered(rows, "__key", "id").persist()
+    if (row := rows.filter(F.size("__labels") > MAX_LABELS).first()) is not None:
+        raise GraphError("TooManyLabels", f"node '{row[0]}' has more than {MAX_LABELS} labels")
+    numbered = _numbered(rows, "id")
     ids = numbered.select(F.col("__key").alias("key"), "id")
     columns = [c for c in numbered.columns if c not in ("__key", "__labels", "id")]
     names = [r[0] for r in numbered.select(F.explode("__labels").alias("l")).distinct().orderBy("l").collect()]
@@ -156,7 +162,7 @@ def import_graph(spark: SparkSession, nodes: list[NodeFile], edges: list[EdgeFil
 
     links: dict[str, list[DataFrame]] = {}
     for f in edges:
-        df = _read(spark, f.path)
+        df = _read(spark, f)
         src, dst = _find(df, f.src_column), _find(df, f.dst_column)
         kind = _find(df, f.type_column) if f.type_column else None
         if not (kind or f.type):
@@ -174,18 +180,20 @@ def import_graph(spark: SparkSession, nodes: list[NodeFile], edges: list[EdgeFil
     every = links["all"][0]
     for part in links["all"][1:]:
         every = every.unionByName(part, allowMissingColumns=True)
-    every = _numbered(every, "src", "edge_id").persist()
+    every = _numbered(every, "edge_id")
     kinds = [r[0] for r in every.select("__t").distinct().orderBy("__t").collect()]
     return PropertyGraph(tables, {k: EdgeTable(every.filter(F.col("__t") == k).drop("__t")) for k in kinds}), ids
 
 
-def _numbered(df: DataFrame, by: str, name: str) -> DataFrame:
-    """Consecutive ids from 1 without sorting everything in one task: places within ranges of `by`, plus the ranges before."""
-    spread = df.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(64)).cast("int"))
-    sizes = spread.groupBy("__part").agg(F.count("*").alias("n"))
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Consecutive ids from 1, in no particular order, without a sort: places within partitions, as they are written, plus
+    the rows of the partitions before. No key's rows need to be in one task."""
+    rows = written(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33).alias("__part")
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))  # as many rows as there were partitions
     before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
-    order = Window.partitionBy("__part").orderBy(by, *(c for c in df.columns if c != by and dict(df.dtypes)[c] != "array<string>"))
-    return spread.withColumn("__n", F.row_number().over(order)).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__n")).cast("long")).drop("__part", "__n", "__before")
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.withColumn("__part", part).join(before, "__part").withColumn(name, place.cast("long")).drop("__part", "__at", "__before")
 
 
 def shown(c: str, kind: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 from pyspark.sql import SparkSession
@@ -31,16 +32,18 @@ def social_graph(spark: SparkSession, nodes: int = 400, edges: int = 2400, seed:
     """Persons, some with a second label, and three kinds of unique links without self-loops."""
     rng = random.Random(seed)
     cities, teams = ("Lisbon", "Oslo", "Quito", "Nairobi", "Hanoi"), ("Core", "Data", "Design", "Field")
-    roles = (None, "Mentor", "Manager", "Contributor")
-    people = [(i, f"person-{i}", f"@p{i}", rng.choice(teams), rng.choice(cities), rng.choice(roles)) for i in range(1, nodes + 1)]
-    persons = spark.createDataFrame(people, "id long, name string, handle string, team string, city string, role string")
+    more, roles = (None, "Mentor", "Manager", "Contributor"), ("engineer", "analyst", "designer", "lead")
+    abilities, plans = ("cooking", "drawing", "mapping", "parsing", "sailing", "tuning"), ("Harbour", "Lantern", "Meadow", "Quarry")
+    day = lambda year, years: dt.date(year, 1, 1) + dt.timedelta(days=rng.randrange(365 * years))
+    people = [
+        (i, f"person-{i}", f"@p{i}", rng.choice(roles), rng.choice(teams), rng.choice(cities), day(2014, 10), ", ".join(sorted(rng.sample(abilities, 3))), rng.choice(more)) for i in range(1, nodes + 1)
+    ]
+    persons = spark.createDataFrame(people, "id long, name string, handle string, role string, team string, city string, joined_at date, skills string, second string")
     kinds, links = ("FOLLOWS", "MENTORS", "COLLABORATES_WITH"), {}
     while len(links) < edges:
         src, dst, kind = rng.randint(1, nodes), rng.randint(1, nodes), rng.choice(kinds)
         if src != dst:
-            links.setdefault((src, dst, kind), round(rng.random(), 2))
-    tables = {
-        k: EdgeTable(spark.createDataFrame([(s, d, e, w) for e, ((s, d, t), w) in enumerate(links.items()) if t == k], "src long, dst long, edge_id long, strength double"), "Person", "Person")
-        for k in kinds
-    }
-    return PropertyGraph({"Person": persons} | {r: persons.filter(persons.role == r) for r in roles if r}, tables)
+            links.setdefault((src, dst, kind), (rng.choice(plans), round(rng.uniform(0.1, 1), 2), day(2016, 7)))
+    schema = "src long, dst long, edge_id long, project string, strength double, since date"
+    tables = {k: EdgeTable(spark.createDataFrame([(s, d, e, *more) for e, ((s, d, t), more) in enumerate(links.items()) if t == k], schema), "Person", "Person") for k in kinds}
+    return PropertyGraph({"Person": persons.drop("second")} | {r: persons.filter(persons.second == r).drop("second") for r in more if r}, tables)

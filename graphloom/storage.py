@@ -40,3 +40,10 @@ def written(df: DataFrame, name: str, of: DataFrame | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.coalesce(min(tasks, (1 << 31) - 1)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables in the shared folder, of all sessions that use it. Results that were not written
+    elsewhere may still read them, so this is the caller's to decide."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
