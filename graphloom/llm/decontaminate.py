@@ -21,7 +21,7 @@ from graphloom.llm.common import as_bytes, batch, map_batches, table, written
 
 WORDS = 10
 #: Item words of one block; a larger benchmark is joined block by block, so what is sent to executors has a bound.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -153,8 +153,8 @@ def ranked(docs: DataFrame, block: Block) -> Block:
 
     counts = np.zeros(len(block.shingles), np.int64)
     if len(counts):
-        for r in docs.select(F.col("text").cast("binary")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-            counts[r.k] = r.n
+        found = docs.select(F.col("text").cast("binary")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        counts[found["k"].to_numpy()] = found["n"].to_numpy()
     block.order(counts)
     return block
 

@@ -129,8 +129,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     got = map_batches(chosen, run, "id long, lang string, at array<int>, share array<float>").filter(F.size("at") > 0)
     within = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", "at")))
-    got = got.withColumn("nth", within).filter(F.col("nth") <= int(2 * quota)).orderBy(F.xxhash64("id", "at"), "lang").collect()
-    return fit([(r.lang, np.array(r["at"], np.int64), np.array(r.share)) for r in got])
+    got = got.withColumn("nth", within).filter(F.col("nth") <= int(2 * quota)).orderBy(F.xxhash64("id", "at"), "lang").select("lang", "at", "share").toArrow()
+    if not got.num_rows:
+        return fit([])
+    at, share = (got[c].combine_chunks() for c in ("at", "share"))  # as Python lists they would fill the driver's memory
+    ends, at, share = at.offsets.to_numpy(), at.values.to_numpy(), share.values.to_numpy()
+    return fit([(lang, at[i:j], share[i:j]) for lang, i, j in zip(got["lang"].to_pylist(), ends, ends[1:], strict=False)])
 
 
 def predict(docs: DataFrame, model: Model, rejecting: bool = False) -> DataFrame:

@@ -41,4 +41,22 @@ t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NU
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM t WHERE rank <= 5
 """
 
-ORACLES = {"op6_near_dedup": OP6, "op7_decontaminate": OP7, "op10_topk": OP10}
+OP1 = f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, {_WORDS} AS ws FROM documents),
+bw AS MATERIALIZED (SELECT r, i, md5(b[i:i + 399]) AS m FROM t, unnest(generate_series(1, octet_length(b) - 399)) AS u(i)),
+bi AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM bw WHERE m IN (SELECT m FROM bw GROUP BY m HAVING count(*) > 1)),
+bg AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM bi),
+bs AS (SELECT r, min(i) AS a, max(i) + 399 AS z FROM bg GROUP BY r, g),
+bp AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS q FROM bs),
+cut AS (SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(CASE WHEN a > q + 1 THEN hex(b[q + 1:a - 1]) ELSE '' END, '' ORDER BY a) AS kept FROM bp JOIN t USING (r) GROUP BY r),
+ww AS MATERIALIZED (SELECT r, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS m FROM t, unnest(generate_series(1, len(ws) - 49)) AS u(i)),
+wi AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM ww WHERE m IN (SELECT m FROM ww GROUP BY m HAVING count(*) > 1)),
+wg AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM wi),
+ws AS (SELECT r, min(i) AS a, max(i) + 49 AS z FROM wg GROUP BY r, g),
+held AS (SELECT r, count(*) AS n_passages, sum(z - a + 1) AS n_words FROM ws GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN last IS NULL THEN b ELSE unhex(kept || CASE WHEN last < octet_length(b) THEN hex(b[last + 1:octet_length(b)]) ELSE '' END) END) AS kept_sha256, coalesce(n_passages, 0) AS n_passages, CAST(coalesce(n_words, 0) AS BIGINT) AS n_passage_words
+FROM t LEFT JOIN cut USING (r) LEFT JOIN held USING (r)
+"""
+
+ORACLES = {"op1_suffix_dedup": OP1, "op6_near_dedup": OP6, "op7_decontaminate": OP7, "op10_topk": OP10}

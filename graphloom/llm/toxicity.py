@@ -49,10 +49,9 @@ def hits(text: bytes, place: dict[bytes, int]) -> tuple[dict[int, int], int]:
     """Hits of each entry in place, and the number of words."""
     all_words = words(text)
     found: dict[int, int] = {}
-    for w in set(all_words):
-        if at := [k for e in entries(w) if (k := place.get(e)) is not None]:
-            n = all_words.count(w)
-            for k in at:
+    for w, n in Counter(all_words).items():
+        for e in entries(w):
+            if (k := place.get(e)) is not None:
                 found[k] = found.get(k, 0) + n
     return found, len(all_words)
 
