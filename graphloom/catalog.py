@@ -236,10 +236,10 @@ for _k in (1, 2, 3):
 
 def _rare(graph: PropertyGraph) -> PropertyGraph:
     """Signups of a high value only: few links, so that more hops reach more."""
-    return PropertyGraph(graph.nodes, {"rare": EdgeTable(graph.type("signup").df.filter("value > 150"), "Customer", "Customer")})
+    return PropertyGraph(graph.nodes, {"rare": EdgeTable(graph.type("signup").df.filter("value > 80"), "Customer", "Customer")})
 
 
-RARE = "SELECT src, dst FROM e JOIN events ON event_id = edge_id WHERE type = 'signup' AND value > 150"
+RARE = "SELECT src, dst FROM e JOIN events ON event_id = edge_id WHERE type = 'signup' AND value > 80"
 for _k in (2, 3, 5):
     add(f"bfs_sparse_depth{_k}", _bfs_sql(_k, RARE))(lambda g, k=_k: traverse.bfs(_rare(g), "Customer", 0, k, "out", ["rare"]))
 add("bfs_sparse_both", _bfs_sql(3, f"{RARE} UNION SELECT dst, src FROM ({RARE})"))(lambda g: traverse.bfs(_rare(g), "Customer", 0, 3, "both", ["rare"]))
@@ -344,9 +344,9 @@ def _script(graph: PropertyGraph) -> PropertyGraph:
 
 add(
     "mutate_script_nodes",
-    "SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_suppkey = 2 THEN 'two' ELSE s_name END AS name, CASE WHEN s_suppkey = 2 THEN NULL ELSE s_acctbal END AS balance, CAST(CASE WHEN s_suppkey = 2 THEN 8 END AS BIGINT) AS grade FROM supplier "
+    "SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_suppkey = 2 THEN 'two' ELSE s_name END AS name, CASE WHEN s_suppkey = 2 THEN NULL ELSE s_acctbal END AS balance, CAST(CASE WHEN s_suppkey = 2 THEN 8 ELSE 0 END AS BIGINT) AS grade FROM supplier "
     "UNION ALL SELECT CAST(max(s_suppkey) + 1 AS BIGINT), NULL, NULL, 1 FROM supplier UNION ALL SELECT CAST(max(s_suppkey) + 2 AS BIGINT), 'second', NULL, 2 FROM supplier",
-)(lambda g: _script(g).label("Supplier").select("id", "name", "balance", "grade"))
+)(lambda g: _script(g).label("Supplier").select("id", "name", "balance", F.coalesce("grade", F.lit(0).cast("long")).alias("grade")))
 add(
     "mutate_script_edges",
     "SELECT CAST(s_suppkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CASE WHEN s_suppkey = 6 THEN 'six' END AS note FROM supplier WHERE s_suppkey <> 5 AND s_nationkey <> 3 UNION ALL SELECT 2, 4, NULL",
