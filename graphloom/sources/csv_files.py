@@ -141,7 +141,7 @@ def import_graph(spark: SparkSession, nodes: list[NodeFile], edges: list[EdgeFil
         label = _find(df, f.label_column) if f.label_column else None
         props = _props(df, f.columns, {key, label}, f.types)
         listed = F.split(F.coalesce(F.col(label), F.lit("")), r"\|") if label else F.array().cast("array<string>")
-        names = F.array_distinct(F.filter(F.transform(F.concat(F.array(*map(F.lit, f.labels)) if f.labels else F.array().cast("array<string>"), listed), F.trim), lambda x: x != ""))
+        names = F.array_distinct(F.filter(F.transform(F.concat(F.array(*map(F.lit, f.labels)) if f.labels else F.array().cast("array<string>"), listed), lambda x: F.trim(x)), lambda x: x != ""))
         frames.append(df.select(F.trim(F.col(key)).alias("__key"), names.alias("__labels"), *props))
     rows = frames[0]
     for f in frames[1:]:

@@ -28,18 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
 TASK_BYTES, TASKS = 16 << 20, 4
 
 
-def written(df: DataFrame, name: str, of: DataFrame | None = None) -> DataFrame:
-    """Cuts lineage: df written to the shared folder and read again. A lost executor loses nothing of it.
-
-    Many tasks on little data make many small files, so partitions are put together as long as TASKS tasks are left for
-    each core and their share of the input, by the optimizer's estimate for df, or for `of` that it comes from, stays under
-    TASK_BYTES."""
-    spark = df.sparkSession
+def packed(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """df in as many tasks as its size is worth: many tasks on little data make many small files. Partitions are put
+    together as long as TASKS tasks are left for each core and their share of the input, by the optimizer's estimate for df,
+    or for `of` that it comes from, stays under TASK_BYTES."""
     size = int((df if of is None else of)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    tasks = max(TASKS * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.coalesce(min(tasks, (1 << 31) - 1)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    tasks = max(TASKS * df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return df.coalesce(min(tasks, (1 << 31) - 1))
+
+
+def written(df: DataFrame, name: str, of: DataFrame | None = None) -> DataFrame:
+    """Cuts lineage: df written to the shared folder, packed(), and read again. A lost executor loses nothing of it."""
+    path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
+    packed(df, of).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:

@@ -15,11 +15,11 @@ def run_as(spark: SparkSession, request_id: str | None) -> Iterator[None]:
     if request_id is None:
         yield
         return
-    spark.addTag(_tag(request_id))
+    spark.sparkContext.addJobTag(_tag(request_id))
     try:
         yield
     finally:
-        spark.removeTag(_tag(request_id))
+        spark.sparkContext.removeJobTag(_tag(request_id))
 
 
 def _tag(request_id: str) -> str:
@@ -27,8 +27,13 @@ def _tag(request_id: str) -> str:
 
 
 def cancel(spark: SparkSession, request_id: str) -> bool:
-    """Cancels the request's running jobs; whether there were any."""
-    return bool(spark.interruptTag(_tag(request_id)))
+    """Cancels the request's running jobs, whatever thread they were started in; whether there were any."""
+    sc = spark.sparkContext
+    tracker = sc._jsc.sc().statusTracker()
+    jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForTag(_tag(request_id))]
+    running = any(j.isDefined() and j.get().status().name() == "RUNNING" for j in jobs)
+    sc.cancelJobsWithTag(_tag(request_id))
+    return running
 
 
 class Cursor:

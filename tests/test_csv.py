@@ -77,3 +77,22 @@ def test_static_labels_and_chosen_columns(spark, tmp_path):
     g, _ = import_graph(spark, [NodeFile(put(tmp_path / "n.csv", "id,a,b,when\n1,2,3,5\n2,x,4,6\n"), labels=["N"], columns=["B", "when"], types={"when": "datetime"})], [])
     assert g.props("N") == ["b", "when"]
     assert sorted((r.b, r.when) for r in g.label("N").collect()) == [(3, dt.datetime(1970, 1, 1, 0, 0, 0, 5000)), (4, dt.datetime(1970, 1, 1, 0, 0, 0, 6000))]
+
+
+def test_cells_with_line_breaks_and_many_labels(spark, tmp_path):
+    text = 'id,labels,note\na,X,"one\ntwo"\n'
+    g, _ = import_graph(spark, [NodeFile(put(tmp_path / "n.csv", text), label_column="labels", multiline=True)], [])
+    assert [r.note for r in g.label("X").collect()] == ["one\ntwo"]
+    many = "|".join(f"L{i}" for i in range(256))
+    with pytest.raises(GraphError, match="TooManyLabels"):
+        import_graph(spark, [NodeFile(put(tmp_path / "m.csv", f"id,labels\na,{many}\n"), label_column="labels")], [])
+
+
+def test_ids_are_consecutive(spark, tmp_path):
+    folder = tmp_path / "n"
+    folder.mkdir()
+    for k in range(5):
+        put(folder / f"{k}.csv", "id,labels\n" + "".join(f"{k}-{i},X\n" for i in range(k * 7)))
+    g, ids = import_graph(spark, [NodeFile(str(folder), label_column="labels")], [EdgeFile(put(tmp_path / "e.csv", "src,dst\n4-1,3-2\n4-1,4-1\n"), type="T")])
+    assert sorted(r.id for r in g.label("X").collect()) == list(range(1, 71)) and ids.count() == 70
+    assert sorted(r.edge_id for r in g.type("T").df.collect()) == [1, 2]

@@ -280,3 +280,189 @@ def test_stress_invariants(spark):
             deg = {r.node: r.degree for r in traverse.degrees(g, d).collect()}
             assert deg == dict(Counter(r.node for r in traverse.neighbors_of(g, g.links(), d).collect()))
         assert all(r["count"] == 0 for r in statistics.verify(g).filter("finding <> 'repeated_id'").collect())
+
+
+def test_lookups_and_dumps(spark):
+    g = PropertyGraph(
+        {"A": spark.createDataFrame([(1, "x", None), (2, "y", 5)], "id long, name string, n long"), "B": spark.createDataFrame([(2, "z", 7)], "id long, name string, m long")},
+        {"E": EdgeTable(spark.createDataFrame([(1, 2, 1, 0.5)], "src long, dst long, edge_id long, w double")), "F": EdgeTable(spark.createDataFrame([(9, 2, 1), (1, 8, 1)], "src long, dst long, edge_id long"), "A", "B")},
+    )
+    assert traverse.get_edge(g, "E", 1) == {"src": 1, "dst": 2, "edge_id": 1, "w": 0.5} and traverse.get_edge(g, "E", 2) is None
+    assert sorted(map(tuple, statistics.all_nodes(g).collect())) == [("A", 1), ("A", 2), ("B", 2)]
+    dump = {r.id: (r.labels, r.props) for r in statistics.full_graph_nodes(g).collect()}
+    assert dump == {1: (["A"], {"name": "x"}), 2: (["A", "B"], {"name": "y", "n": "5", "m": "7"})}
+    found = {(r.type, r.finding): r["count"] for r in statistics.verify(g).collect()}
+    assert found == {("E", "dangling_src"): 0, ("E", "dangling_dst"): 0, ("E", "repeated_id"): 0, ("F", "dangling_src"): 1, ("F", "dangling_dst"): 1, ("F", "repeated_id"): 1}
+
+
+def test_one_scan_serves_all_types_of_a_source(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 1, "X"), (2, 1, 2, "Y"), (1, 1, 3, "Z")], "src long, dst long, edge_id long, type string").write.parquet(str(tmp_path / "e"))
+    from graphloom.model import EdgeSource
+
+    source = EdgeSource(lambda: spark.read.parquet(str(tmp_path / "e")))
+    g = PropertyGraph({"N": spark.createDataFrame([(1,), (2,)], "id long")}, {k: source.table(k, "N", "N") for k in "XYZ"})
+    assert sorted(map(tuple, g.links(["X", "Y"]).collect())) == [(1, 2, 1, "X"), (2, 1, 2, "Y")]
+    plan = traverse.neighbors_of(g, g.links(), "both")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert traverse.neighbors_of(g, g.links(), "both").count() == 6
+    changed = mutate.update_edge(g, "X", 1, {"w": 1})
+    assert changed.links().count() == 3 and changed.type("X").df.first().w == 1 and changed.type("Y").df.columns == ["src", "dst", "edge_id"]
+
+
+def test_mutations_in_one_go(spark):
+    """A random script against plain Python: new rows, rows changed twice, edges and nodes that go again."""
+    rng = random.Random(4)
+    users = {i: {"name": f"u{i}", "age": i} for i in range(1, 9)}
+    links = {i: [rng.randint(1, 8), rng.randint(1, 8), None] for i in range(1, 15)}
+    g = PropertyGraph(
+        {"User": spark.createDataFrame([(i, u["name"], u["age"]) for i, u in users.items()], "id long, name string, age long")},
+        {"E": EdgeTable(spark.createDataFrame([(s, d, i, w) for i, (s, d, w) in links.items()], "src long, dst long, edge_id long, w long"), "User", "User")},
+    )
+    ops, next_user, next_link, gone = [], 9, 15, 0
+    for k in range(120):
+        kind = rng.choice(["node", "edge", "set", "patch", "cut"] + (["drop"] if k % 17 == 16 else []))
+        if kind == "node":
+            ops.append({"op": "createNode", "label": "User", "props": {"name": f"n{k}"}})
+            users[next_user], next_user = {"name": f"n{k}", "age": None}, next_user + 1
+        elif kind == "edge":
+            s, d = rng.choice(list(users)), rng.choice(list(users))
+            ops.append({"op": "createEdge", "type": "E", "src": s, "dst": d, "props": {"w": k}})
+            links[next_link], next_link = [s, d, k], next_link + 1
+        elif kind == "set":
+            i = rng.choice(list(users))
+            ops.append({"op": "updateNode", "label": "User", "id": i, "set": {"age": k}, "unset": ["name"] if k % 3 == 0 else None})
+            users[i].update({"age": k} | ({"name": None} if k % 3 == 0 else {}))
+        elif kind == "patch" and links:
+            i = rng.choice(list(links))
+            ops.append({"op": "updateEdge", "type": "E", "id": i, "set": {"w": -k}})
+            links[i][2] = -k
+        elif kind == "cut" and links:
+            i = rng.choice(list(links))
+            ops.append({"op": "deleteEdge", "type": "E", "id": i})
+            del links[i]
+            gone += 1
+        elif kind == "drop" and len(users) > 3:
+            i = rng.choice(list(users))
+            ops.append({"op": "deleteNode", "label": "User", "id": i, "cascade": True})
+            lost = [e for e, (s, d, _) in links.items() if i in (s, d)]
+            del users[i]
+            for e in lost:
+                del links[e]
+            gone += len(lost)
+    out, done = mutate.mutate(spark, g, ops)
+    assert {r.id: {"name": r.name, "age": r.age} for r in out.label("User").collect()} == users
+    assert {r.edge_id: [r.src, r.dst, r.w] for r in out.type("E").df.collect()} == links and done.deleted_edges == gone
+    assert g.label("User").count() == 8
+
+
+def test_thousand_operations_stay_shallow(spark, demo):
+    ops = []
+    for i in range(250):
+        ops += [
+            {"op": "createNode", "label": "User", "props": {"name": f"x{i}"}, "alias": f"x{i}"},
+            {"op": "createEdge", "type": "FOLLOWS", "src": {"$ref": f"x{i}"}, "dst": 1},
+            {"op": "updateNode", "label": "User", "id": {"$ref": f"x{i}"}, "set": {"age": i}},
+            {"op": "updateNode", "label": "User", "id": 1 + i % 3, "set": {"age": i}},
+        ]
+    out, done = mutate.mutate(spark, demo, ops)
+    assert len(done.created_nodes) == len(done.created_edges) == 250 and done.updated_nodes == 500
+    assert out.label("User").count() == 253 and out.label("User")._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert {r.id: r.age for r in out.label("User").filter("id <= 3").collect()} == {1: 249, 2: 247, 3: 248}
+    g = demo
+    for i in range(12):  # deletions and creations in turn are written now and then
+        g, _ = mutate.mutate_batched(spark, g, [{"op": "createNode", "label": "User", "alias": "a"}, {"op": "deleteNode", "label": "User", "id": {"$ref": "a"}}] * 1)
+    many = [o for i in range(12) for o in ({"op": "createNode", "label": "User", "alias": f"a{i}"}, {"op": "deleteNode", "label": "User", "id": {"$ref": f"a{i}"}})]
+    g, _ = mutate.mutate(spark, demo, many)
+    assert g.label("User").count() == 3 and g.label("User")._jdf.queryExecution().optimizedPlan().toString().count("Join") < mutate.WRITE_AFTER
+
+
+def test_deletions_in_order(spark):
+    g = PropertyGraph(
+        {"N": spark.createDataFrame([(1,), (2,), (3,)], "id long")}, {"E": EdgeTable(spark.createDataFrame([(1, 2, 1), (2, 2, 2), (3, 1, 3)], "src long, dst long, edge_id long"), "N", "N")}
+    )
+    drop = lambda i, cascade: {"op": "deleteNode", "label": "N", "id": i, "cascade": cascade}
+    out, done = mutate.mutate(spark, g, [drop(1, True), drop(3, False)])  # 3's only edge went with 1
+    assert done.deleted_edges == 2 and [r.edge_id for r in out.type("E").df.collect()] == [2]
+    for ops, code in (([drop(3, False), drop(1, True)], "NodeHasEdges"), ([drop(1, True), drop(1, True)], "NotFound"), ([drop(7, True)], "NotFound")):
+        with pytest.raises(GraphError) as e:
+            mutate.mutate(spark, g, ops)
+        assert e.value.code == code
+
+
+def test_edges_with_repeated_ids_are_refused(spark):
+    g = PropertyGraph({"N": spark.createDataFrame([(1,)], "id long")}, {"E": EdgeTable(spark.createDataFrame([(1, 1, 5), (1, 1, 5), (1, 1, 6)], "src long, dst long, edge_id long"))})
+    for act in (lambda: mutate.update_edge(g, "E", 5, {"w": 1}), lambda: mutate.delete_edge(g, "E", 5), lambda: mutate.mutate(spark, g, [{"op": "deleteEdge", "type": "E", "id": 5}])):
+        with pytest.raises(GraphError, match="AmbiguousEdge"):
+            act()
+    assert mutate.delete_edge(g, "E", 6).type("E").df.count() == 2
+
+
+def test_scripts_and_transactions(spark, demo):
+    db = Database(spark, demo)
+    script = db.create()
+    a = script.node("User", {"name": "Barbara"})
+    script.edge("FOLLOWS", a, script.node("User", {"name": "Dana"}, alias="d"), {"since": 3}).edge("FOLLOWS", 1, a)
+    done = script.execute()
+    assert done.aliases["d"] in done.created_nodes and len(done.created_edges) == 2 and db.neighbors(done.created_nodes[0]) == [done.aliases["d"]]
+    kept = db.graph
+
+    def fails(tx):
+        tx.node("User")
+        tx.delete_node("User", 999)
+
+    with pytest.raises(NotFound):
+        db.transaction(fails)
+    assert db.graph is kept
+    out, done = db.transaction(lambda tx: tx.update_edge("FOLLOWS", 1, {"since": 9}) and "ok")
+    assert out == "ok" and done.updated_edges == 1 and traverse.get_edge(db.graph, "FOLLOWS", 1)["since"] == 9
+    db.update_edge("FOLLOWS", 1, unset=["since"])
+    assert traverse.get_edge(db.graph, "FOLLOWS", 1)["since"] is None
+    assert len(db.mutate_many(iter([{"op": "createNode", "label": "User"}])).created_nodes) == 1
+    n = db.count("User")
+    with pytest.raises(NotFound):
+        db.mutate_batched([{"op": "createNode", "label": "User"}, {"op": "deleteEdge", "type": "FOLLOWS", "id": 999}], size=1)
+    assert db.count("User") == n + 1  # the first chunk stays
+
+    async def later(tx):
+        return None
+
+    with pytest.raises(TypeError):
+        db.transaction(later)
+
+
+def test_a_running_request_is_cancelled(spark):
+    import threading
+    import time
+
+    from pyspark.sql import functions as F
+
+    from graphloom.streaming.cursor import run_as
+
+    ended = []
+
+    def work():
+        try:
+            with run_as(spark, "slow"):
+                spark.range(0, 1 << 40, 1, 4).agg(F.sum(F.sqrt(F.col("id")))).collect()
+            ended.append("done")
+        except Exception:
+            ended.append("cancelled")
+
+    t = threading.Thread(target=work)
+    t.start()
+    until = time.time() + 30
+    while not cancel(spark, "slow") and time.time() < until:
+        time.sleep(0.3)
+    t.join(60)
+    assert ended == ["cancelled"]
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from graphloom import storage
+
+    class Elsewhere:
+        conf = type("", (), {"get": staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))})
+
+    with pytest.raises(ValueError, match="share"):
+        storage.shared_dir(Elsewhere)
+    assert storage.shared_dir(spark)
