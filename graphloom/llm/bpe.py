@@ -10,6 +10,7 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from graphloom.llm.common import batch, map_batches, table
 #: White space of Unicode (property White_Space), which the pre-tokeniser's \s stands for.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Pre-tokens remembered by a Python worker; the memory is cleared when full, so it only saves time.
-MEMO = 1 << 18
+#: Pre-tokens that a Python worker remembers from one partition to the next, in about 100 MB; the memory is cleared when full, so
+#: it only saves time.
+MEMO = 1 << 19
 
 
 class PerfectHash:
@@ -121,16 +123,16 @@ class Codec:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        memo, out = self.memo, []
+        memo, found = self.memo, self.find(text)
         if len(memo) > MEMO:
             memo.clear()
-        for t in self.find(text):
-            ids = memo.get(t)
-            if ids is None:
-                ids = self.piece(t.encode("utf-8"))
-                if len(t) <= 64:
-                    memo[t] = ids
-            out += ids
+        new = set(found).difference(memo)
+        for t in new:
+            memo[t] = self.piece(t.encode("utf-8"))
+        out = list(chain.from_iterable(map(memo.__getitem__, found)))
+        for t in new:
+            if len(t) > 64:
+                del memo[t]
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -156,7 +158,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
         return batch(doc_id=b.column(0), ids=pa.array(ids, pa.list_(pa.int32())), decoded=pa.array([c.decode(x) for x in ids], pa.binary()))
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "doc_id long, ids array<int>, decoded binary", lambda: codec(path, pattern).memo.clear())
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "doc_id long, ids array<int>, decoded binary")
 
 
 def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +173,7 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             out_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
         return batch(doc_id=b.column(0), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids_sha, pa.string()), decoded_sha256=pa.array(out_sha, pa.string()))
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: codec(path, pattern).memo.clear())
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

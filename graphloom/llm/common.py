@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.storage import written  # noqa: F401  for the operators
+from graphloom.storage import packed, written  # noqa: F401  for the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,17 +48,14 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
-    """fn over Arrow batches of SLICE rows at most, so what it holds at once is small; order and partitioning stay.
-    after is called when a partition ends."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """fn over Arrow batches of SLICE rows at most, so what it holds at once is small; order and partitioning stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 if (out := fn(batch.slice(i, SLICE))) is not None:
                     yield out
-        if after:
-            after()
         release()
 
     small_batches(df.sparkSession)
@@ -89,8 +86,8 @@ def sample_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
 
 
-#: Bits of a key filter: about FILTER_BITS for each key, 2 ** FILTER_MOST at most, so its size has a bound whatever the keys.
-FILTER_BITS, FILTER_MOST = 12, 25
+#: Bits of a key filter: about FILTER_BITS for each key, 2 ** FILTER_MOST at most: 32 MB whatever the keys.
+FILTER_BITS, FILTER_MOST = 12, 28
 
 
 def key_filter(keys: DataFrame):

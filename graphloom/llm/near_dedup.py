@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, release, table, written
+from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, packed, release, table, written
 
 #: Bands of ROWS registers. At similarity 0.8 all bands differ with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7.
 BANDS, ROWS, MANTISSA = 40, 5, 10
@@ -308,7 +308,8 @@ def classes(docs: DataFrame, k: int = 5, at_least: tuple[int, int] = (80, 100),
     low = written(first.groupBy("label").agg(F.min("low").alias("component_id")), "lows")
     by_key = written(first.join(low, "label").select("key", "component_id"), "classes", rows)
     out = rows.select("id", "n", "key").filter("n > 0").join(by_key, "key").select("id", "n", "component_id", "key")
-    return out.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), "key")).withColumnRenamed("n", "n_shingles")
+    out = out.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), "key")).withColumnRenamed("n", "n_shingles")
+    return packed(out, rows)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, partitions, release, table, written
+from graphloom.llm.common import as_bytes, batch, key_filter, map_batches, may_hold, mix64, packed, partitions, release, table, written
 
 LENGTH, PASSAGE = 400, 50
 #: Symbols hashed at once, bytes of a suffix array, of one hash's share in it, and about those of a task, array by array.
@@ -566,11 +566,8 @@ def removals(docs: DataFrame) -> DataFrame:
 
     changed = map_batches(source.select("key", "text", "bytes", "words"), run, "key binary, kept string, n_removed long, n_spans long, n_passages long, n_passage_words long")
     number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return (
-        rows.select(F.col("id").alias("doc_id"), "key", "n_bytes", "sha")
-        .join(changed, "key", "left")
-        .select("doc_id", "n_bytes", number("n_removed"), number("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), number("n_passages"), number("n_passage_words"))
-    )
+    whole = rows.select(F.col("id").alias("doc_id"), "key", "n_bytes", "sha").join(changed, "key", "left")
+    return packed(whole.select("doc_id", "n_bytes", number("n_removed"), number("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), number("n_passages"), number("n_passage_words")), rows)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
