@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontaminate, near_dedup, quality, suffix_dedup
-from graphloom.llm.common import map_batches, parted, table, written
+from graphloom.llm.common import map_batches, packed, parted, table, written
 
 #: No SQL: a trained model and a byte-pair encoder take part. tests/llm holds each stage against brute force.
 ORACLE_SQL = None
@@ -22,7 +22,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the learnable labels of this stage's own documents, doesn't reject."""
     trees = quality.train(docs, quality.learnable(table(spark, sf_dir, "labels")))
-    return quality.keep(docs, trees)
+    return packed(quality.keep(docs, trees), docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = written(gone.select(key.alias("key")), "gone")
     sure, maybe = parted(rows, key, gone)
     kept = maybe.join(gone.withColumnRenamed("key", "__key"), "__key", "left_anti")
-    return sure.select(docs.columns).unionByName(kept.select(docs.columns))
+    return packed(sure.select(docs.columns).unionByName(kept.select(docs.columns)), docs)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +68,12 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
             columns[n_at] = pa.array(sizes, columns[n_at].type)
         return pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return sure.unionByName(map_batches(marked, run, docs.schema))
+    return packed(sure.unionByName(map_batches(marked, run, docs.schema)), docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of a benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), nameless=True)
+    return packed(decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), nameless=True), docs)
 
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
