@@ -247,6 +247,8 @@ class Database:
         script = Script()
         out = fn(script)
         if inspect.isawaitable(out):
+            if inspect.iscoroutine(out):
+                out.close()
             raise TypeError("a transaction's function must not be asynchronous")
         return out, self.mutate(script.ops)
 

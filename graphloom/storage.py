@@ -24,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir()}"
 
 
-#: Bytes of input that a task may well write, and tasks for each core that are enough to keep it busy.
-TASK_BYTES, TASKS = 16 << 20, 4
+#: Bytes of input, as files hold them, that are worth a task, and tasks for each core that keep it busy.
+TASK_BYTES, TASKS = 2 << 20, 4
 
 
 def packed(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
