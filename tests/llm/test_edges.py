@@ -86,3 +86,28 @@ def test_pages_and_vectors(spark):
     assert sorted((r.page_id or 0, r.n_chars) for r in html_text.extract(pages).collect()) == [(0, 399_999), (1, 0), (1, 0)]
     vectors = spark.createDataFrame([(0, [1.0], 1, 1), (50, [2.0], 1, 1), (50, [2.0], 1, 1)], "vec_id long, embedding array<double>, shard int, kth int")
     assert sorted(map(tuple, topk.top_k(vectors, F.col("id") % 50 == 0, k=1).collect())) == [(0, 1, 50, 512 * 256), (50, 1, 50, 512 * 512), (50, 1, 50, 512 * 512)]
+
+
+def test_statistics_by_hand():
+    text = "Ab cd! cd\n\n12 the end.\nAb cd! cd\n"
+    s = dict(zip(quality.STATS, quality.stats(text.encode()), strict=True))
+    n, words = len(text), text.split()
+    want = {
+        "digits": 2 / n, "newlines": 4 / n, "distinct_words": 6 / 9, "top_word": 2 / 9, "distinct_pairs": 6 / 8, "repeated_lines": 1 - 2 / 3, "line_words": 3.0, "longest_word": 4,
+        "bangs": 2 / 9, "pipes": 0.0, "stops": 1 / 9, "word_len": sum(map(len, words)) / 9, "letters": sum(c.isalpha() for c in text) / n, "upper": 2 / sum(c.isalpha() for c in text), "caps_words": 0.0,
+    }
+    assert {k: pytest.approx(v) for k, v in want.items()} == {k: s[k] for k in want}
+    assert quality.stats(b"") == [0.0] * len(quality.STATS) and quality.stats(b" \n")[1:] == [0.0] * (len(quality.STATS) - 1)
+
+
+def test_subwords_by_hand():
+    def hashed(gram):
+        x = int.from_bytes(gram[:4], "little")
+        h = x * 0x9E3779B1 & 0xFFFFFFFF if len(gram) == 3 else (x * 0x85EBCA6B & 0xFFFFFFFF) ^ 0x27D4EB2F
+        h ^= h >> 15
+        return (h * 0x2C1B3C6D & 0xFFFFFFFF) >> 19
+
+    for text, folded in (("Ab, c1É", " ab c É "), ("", "  "), ("x", " x ")):
+        raw = folded.encode()
+        want = [hashed(raw[i : i + k]) for k in (3, 4) for i in range(len(raw) - k + 1)]
+        assert langid.subwords(text.encode()).tolist() == want
